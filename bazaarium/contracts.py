@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
@@ -120,37 +120,38 @@ def columns(ddl: str) -> list[str]:
 
 
 class _Tables:
-    """A fixed set of named DataFrames."""
+    """A fixed set of named DataFrames, reached as attributes.
 
-    @classmethod
-    def names(cls) -> list[str]:
-        return [field.name for field in fields(cls)]
+    A table may be given as a function; it is planned when it is first used, so a
+    query pays only for the tables it reads.
+    """
+
+    NAMES: tuple[str, ...] = ()
+
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
+        if set(tables) != set(self.NAMES):
+            raise ValueError(f"expected tables {sorted(self.NAMES)}, got {sorted(tables)}")
+        self._given = tables
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self.NAMES:
+            raise AttributeError(name)
+        given = self._given[name]
+        table = given if isinstance(given, DataFrame) else given()
+        setattr(self, name, table)
+        return table
 
     def items(self) -> list[tuple[str, DataFrame]]:
-        return [(name, getattr(self, name)) for name in self.names()]
+        return [(name, getattr(self, name)) for name in self.NAMES]
 
 
-@dataclass(frozen=True)
 class Sources(_Tables):
-    customers: DataFrame
-    geolocation: DataFrame
-    order_items: DataFrame
-    order_payments: DataFrame
-    order_reviews: DataFrame
-    orders: DataFrame
-    products: DataFrame
-    sellers: DataFrame
-    category_translation: DataFrame
-
-
-@dataclass(frozen=True)
+    """The nine raw tables."""
+
+    NAMES = tuple(SOURCES)
+
+
 class Model(_Tables):
-    fact_orders: DataFrame
-    fact_sales: DataFrame
-    dim_customer: DataFrame
-    dim_product: DataFrame
-    dim_seller: DataFrame
-    dim_date: DataFrame
-    mart_customer_rfm: DataFrame
-    # Kept at payment grain: the payment mix counts payment records.
-    stg_order_payments: DataFrame
+    """The seven model tables, and payments at their own grain for the payment mix."""
+
+    NAMES = (*MODEL, "stg_order_payments")

@@ -59,20 +59,21 @@ def month_index(key: Column) -> Column:
     return year * 12 + month
 
 
-def cents(money: Column) -> Column:
-    """A two-decimal amount as a whole number, for exact ranking."""
-    return (money * 100).cast("bigint")
+def cents(money: str) -> str:
+    """SQL for a two-decimal amount as a whole number, for exact ranking."""
+    return f"CAST({money} * 100 AS BIGINT)"
 
 
-def magnitude_bucket(units: Column) -> Column:
-    """Monotone, data-independent bucket of a whole number.
+def magnitude_bucket(units: str) -> Column:
+    """Monotone, data-independent bucket of a whole number, given as SQL.
 
     The value is cut to its leading bits, like a short floating-point number, so
     there are at most about 210,000 buckets whatever the data, and a bucket spans
     less than 1/2048 of its values. It depends on the value alone: a recomputed
     task puts every row into the same bucket again.
     """
-    size = F.abs(units)
-    cut = F.greatest(F.length(F.bin(size)) - _BUCKET_BITS, F.lit(0))
-    lead = F.call_function("shiftright", size, cut)
-    return F.signum(units).cast("bigint") * (cut * (1 << _BUCKET_BITS) + lead)
+    cut = f"greatest(length(bin(abs({units}))) - {_BUCKET_BITS}, 0)"
+    return F.expr(
+        f"CAST(signum({units}) AS BIGINT)"
+        f" * ({cut} * {1 << _BUCKET_BITS} + shiftright(abs({units}), {cut}))"
+    )

@@ -49,8 +49,14 @@ def build(
     )
     reconciliation = quality.gmv_reconciliation(orders, sales)
     quality.require_reconciled(reconciliation)
-    small = {**plans.dimensions(sources, orders), "mart_customer_rfm": plans.mart_customer_rfm(orders)}
-    small["stg_order_payments"] = sources.order_payments
+    small = {
+        "dim_customer": plans.dim_customer(orders),
+        "dim_product": plans.dim_product(sources.products, sources.category_translation),
+        "dim_seller": plans.dim_seller(sources.sellers),
+        "dim_date": plans.dim_date(orders),
+        "mart_customer_rfm": plans.mart_customer_rfm(orders),
+        "stg_order_payments": sources.order_payments,
+    }
     stored = {name: tables.write_table(rows, model_root, name) for name, rows in small.items()}
 
     document = quality.report(

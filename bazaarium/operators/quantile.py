@@ -2,51 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaarium.functions.columns import magnitude_bucket
 
 
-def exact_quantile(rows: DataFrame, units: Column, q: float, out: str) -> DataFrame:
-    """One row: the `q` quantile of a whole-number value, linearly interpolated.
+def exact_quantile(rows: DataFrame, units: str, q: float, out: str) -> DataFrame:
+    """One row: the `q` quantile of a whole-number value (as SQL), linearly interpolated.
 
     First a histogram over value buckets, whose size is bounded whatever the data
     (see `magnitude_bucket`), shows which bucket holds the two neighbouring
     ranks; then only that bucket's distinct values are counted and walked.
     `percentile()` gives the same number but holds every distinct value in one task.
     """
-    valued = rows.select(units.alias("_units")).filter("_units IS NOT NULL")
-    valued = valued.withColumn("_bucket", magnitude_bucket(F.col("_units")))
+    valued = rows.selectExpr(f"{units} AS _units").filter("_units IS NOT NULL")
+    valued = valued.withColumn("_bucket", magnitude_bucket("_units"))
 
-    running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    position = (F.sum("_n").over(Window.partitionBy()) - 1) * F.lit(q)
     histogram = (
         valued.groupBy("_bucket")
         .agg(F.count("*").alias("_n"))
-        .select(
+        .selectExpr(
             "_bucket",
             "_n",
-            F.sum("_n").over(running).alias("_upto"),
-            position.alias("_position"),
+            "sum(_n) OVER (ORDER BY _bucket ROWS UNBOUNDED PRECEDING) AS _upto",
+            f"(sum(_n) OVER () - 1) * {q!r}D AS _position",
         )
         .withColumn("_rank", F.floor("_position"))
     )
     # Rank r (from 0) lies in the bucket where before <= r < upto: at most two buckets.
-    target = histogram.filter("_upto > _rank AND _upto - _n <= _rank + 1").select(
-        "_bucket", "_rank", "_position", (F.col("_upto") - F.col("_n")).alias("_before")
+    target = histogram.filter("_upto > _rank AND _upto - _n <= _rank + 1").selectExpr(
+        "_bucket", "_rank", "_position", "_upto - _n AS _before"
     )
-    walk = Window.partitionBy("_bucket").orderBy("_units").rowsBetween(Window.unboundedPreceding, 0)
+    upto = "_before + sum(count(*)) OVER (PARTITION BY _bucket ORDER BY _units ROWS UNBOUNDED PRECEDING)"
     near = (
         valued.join(F.broadcast(target), "_bucket")
         .groupBy("_bucket", "_before", "_rank", "_position", "_units")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_upto", F.col("_before") + F.sum("_n").over(walk))
+        .agg(F.expr(upto).alias("_upto"))
     )
     ends = near.agg(
-        F.min(F.when(F.col("_upto") > F.col("_rank"), F.col("_units"))).alias("low"),
-        F.min(F.when(F.col("_upto") > F.col("_rank") + 1, F.col("_units"))).alias("high"),
-        F.max(F.col("_position") - F.col("_rank")).alias("part"),
+        F.expr("min(CASE WHEN _upto > _rank THEN _units END)").alias("low"),
+        F.expr("min(CASE WHEN _upto > _rank + 1 THEN _units END)").alias("high"),
+        F.expr("max(_position - _rank)").alias("part"),
     )
-    low, high = F.col("low"), F.coalesce("high", "low")
-    return ends.select((low + (high - low) * F.col("part")).alias(out))
+    return ends.selectExpr(f"low + (coalesce(high, low) - low) * part AS {out}")

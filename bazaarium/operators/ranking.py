@@ -28,55 +28,51 @@ def number_within(
     before it. All other keys are numbered in one go. Rows whose first key is
     null belong to no group: they get no number.
     """
+    group = ", ".join(keys)
     marks = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    first = F.col(keys[0])
-    marked = (
+    within_chunk = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    numbered = (
         rows.join(marks, keys[0], "left")
-        .withColumn("_chunk", F.when(F.col("_hot") | first.isNull(), chunk))
-        .drop("_hot")
+        .withColumn("_chunk", F.when(F.expr(f"_hot OR {keys[0]} IS NULL"), chunk))
+        .withColumn("_position", F.row_number().over(within_chunk))
     )
-    within_chunk = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    numbered = marked.withColumn("_position", F.row_number().over(within_chunk))
-
     # One row per hot group and chunk. The last groupBy changes nothing but tells
     # the optimizer that its keys are unique, so an unused number costs nothing.
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.expr(
+        f"""coalesce(sum(count(*)) OVER (PARTITION BY {group} ORDER BY _chunk
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"""
+    )
     shifts = (
         rows.join(F.broadcast(hot), keys[0], "left_semi")
-        .groupBy(*keys, chunk.alias("_chunk"))
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .select(*keys, chunk.alias("_chunk"))
+        .groupBy(*keys, "_chunk")
+        .agg(before.alias("_before"))
         .groupBy(*keys, "_chunk")
         .agg(F.max("_before").alias("_before"))
     )
-    number = F.col("_position") + F.coalesce("_before", F.lit(0))
-    return (
-        numbered.join(shifts, [*keys, "_chunk"], "left")
-        .withColumn(out, F.when(first.isNotNull(), number))
-        .drop("_position", "_before", "_chunk")
-    )
+    number = f"CASE WHEN {keys[0]} IS NOT NULL THEN _position + coalesce(_before, 0) END AS {out}"
+    return numbered.join(shifts, [*keys, "_chunk"], "left").selectExpr(*rows.columns, number)
 
 
-def dense_rank_descending(rows: DataFrame, units: Column, out: str) -> DataFrame:
-    """`dense_rank()` of all rows by a whole-number value, largest first, nulls last.
+def dense_rank_descending(rows: DataFrame, units: str, out: str) -> DataFrame:
+    """`dense_rank()` of all rows by a whole-number value (as SQL), largest first, nulls last.
 
     A window without partitions would sort every row in one task. Here distinct
     values are ranked inside value buckets, and each bucket is shifted by the
     distinct values above it. The per-bucket table has a fixed maximum size (see
     `magnitude_bucket`), so its one-task running sum and its broadcast are bounded.
     """
-    valued = rows.withColumn("_units", F.coalesce(units, F.lit(_BELOW_ALL)))
-    values = valued.select("_units").distinct().withColumn("_bucket", magnitude_bucket(F.col("_units")))
-    inside = Window.partitionBy("_bucket").orderBy(F.col("_units").desc())
-    higher = Window.orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    shifts = (
-        values.groupBy("_bucket")
-        .agg(F.count("*").alias("_n"))
-        .select("_bucket", F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_above"))
+    valued = rows.withColumn("_units", F.expr(f"coalesce({units}, {_BELOW_ALL})"))
+    values = valued.select("_units", magnitude_bucket("_units").alias("_bucket")).distinct()
+    higher = F.expr(
+        """coalesce(sum(count(*)) OVER (ORDER BY _bucket DESC
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"""
     )
+    shifts = values.groupBy("_bucket").agg(higher.alias("_above"))
+    inside = F.expr("row_number() OVER (PARTITION BY _bucket ORDER BY _units DESC)")
     ranks = (
-        values.withColumn("_inside", F.row_number().over(inside))
+        values.withColumn("_inside", inside)
         .join(F.broadcast(shifts), "_bucket")
-        .select("_units", (F.col("_inside") + F.col("_above")).alias(out))
+        .selectExpr("_units", f"_inside + _above AS {out}")
     )
-    return valued.join(ranks, "_units").drop("_units")
+    return valued.join(ranks, "_units").selectExpr(*rows.columns, out)

@@ -151,23 +151,22 @@ def number_delivered_orders(
 def fact_orders(sources: Sources, policy: SkewPolicy = SkewPolicy()) -> DataFrame:
     """One row per order, whatever its status."""
     products = translated_products(sources.products, sources.category_translation)
-    categories = item_categories(enriched_items(sources.order_items, products))
-    purchased, arrived, promised = (
-        F.col("order_purchase_timestamp"),
-        F.col("order_delivered_customer_date"),
-        F.col("order_estimated_delivery_date"),
-    )
     base = sources.orders.join(sources.customers, "customer_id", "left").withColumn(
         "is_delivered", sure_flag(F.col("order_status") == DELIVERED)
     )
     orders = number_delivered_orders(base, sources.customers, policy)
     for per_order in (
         item_totals(sources.order_items),
-        categories,
+        item_categories(enriched_items(sources.order_items, products)),
         payment_order(sources.order_payments),
         review_order(sources.order_reviews),
     ):
         orders = orders.join(per_order, "order_id", "left")
+    purchased, arrived, promised = (
+        F.col("order_purchase_timestamp"),
+        F.col("order_delivered_customer_date"),
+        F.col("order_estimated_delivery_date"),
+    )
     derived = {
         "purchase_date": F.to_date(purchased),
         "purchase_month": month_key(purchased),
@@ -285,7 +284,7 @@ def _customer_value(orders: DataFrame) -> DataFrame:
 
 def high_value_threshold(orders: DataFrame, q: float = HIGH_VALUE_QUANTILE) -> DataFrame:
     """One row: the exact quantile of customer value, as a double."""
-    value = exact_quantile(_customer_value(orders), cents(F.col("observed_gmv")), q, "value_cents")
+    value = exact_quantile(_customer_value(orders), cents("observed_gmv"), q, "value_cents")
     return value.select((F.col("value_cents") / 100).alias("high_value_threshold_brl"))
 
 
@@ -306,26 +305,20 @@ def mart_customer_rfm(orders: DataFrame) -> DataFrame:
     return scored.withColumn("segment", segment).select(*columns(MODEL["mart_customer_rfm"]))
 
 
-def dimensions(sources: Sources, orders: DataFrame) -> dict[str, DataFrame]:
-    return {
-        "dim_customer": dim_customer(orders),
-        "dim_product": dim_product(sources.products, sources.category_translation),
-        "dim_seller": dim_seller(sources.sellers),
-        "dim_date": dim_date(orders),
-    }
-
-
 def build_model(
     sources: Sources,
     policy: SkewPolicy = SkewPolicy(),
     item_spread: Sequence[str] = ("order_item_id",),
 ) -> Model:
     """The whole model as lazy plans; nothing runs until a table is used."""
-    orders = fact_orders(sources, policy)
-    return Model(
-        fact_orders=orders,
-        fact_sales=fact_sales(sources, orders, policy, item_spread),
-        **dimensions(sources, orders),
-        mart_customer_rfm=mart_customer_rfm(orders),
-        stg_order_payments=sources.order_payments,
+    model = Model(
+        fact_orders=lambda: fact_orders(sources, policy),
+        fact_sales=lambda: fact_sales(sources, model.fact_orders, policy, item_spread),
+        dim_customer=lambda: dim_customer(model.fact_orders),
+        dim_product=lambda: dim_product(sources.products, sources.category_translation),
+        dim_seller=lambda: dim_seller(sources.sellers),
+        dim_date=lambda: dim_date(model.fact_orders),
+        mart_customer_rfm=lambda: mart_customer_rfm(model.fact_orders),
+        stg_order_payments=lambda: sources.order_payments,
     )
+    return model

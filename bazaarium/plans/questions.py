@@ -56,7 +56,7 @@ def seller_scorecard(model: Model, min_orders: int = 20) -> DataFrame:
         )
         .filter(F.col("delivered_orders") >= min_orders)
     )
-    ranked = dense_rank_descending(scored, cents(F.col("delivered_gmv_brl")), "gmv_rank")
+    ranked = dense_rank_descending(scored, cents("delivered_gmv_brl"), "gmv_rank")
     return ranked.orderBy(F.col("delivered_gmv_brl").desc(), "seller_id")
 
 

@@ -31,6 +31,8 @@ def configure(
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        # Recording the Python call site of every column costs more than planning.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for key, value in settings.items():
         builder = builder.config(key, value)

@@ -41,7 +41,7 @@ def stage_sources(sources: Sources, root: str) -> Sources:
 def read_model(spark: SparkSession, root: str) -> Model:
     """The stored model."""
     tables = {}
-    for name in Model.names():
+    for name in Model.NAMES:
         rows = spark.read.parquet(_location(root, name))
         ddl = contracts.MODEL.get(name)
         tables[name] = rows.select(*contracts.columns(ddl)) if ddl else rows
