@@ -146,5 +146,11 @@ def report(counts: DataFrame, checks: Mapping[str, float], *frames: DataFrame) -
         if "check_name" in frame.columns:
             document.update({row["check_name"]: row["value"] for row in frame.collect()})
         else:
-            document.update(frame.first().asDict())
+            # The report's names for the reconciled sums.
+            order_gmv, item_gmv, difference = frame.select(
+                "order_fact_gmv", "item_fact_gmv", "reconciliation_difference"
+            ).first()
+            document["delivered_gmv_from_order_fact"] = order_gmv
+            document["delivered_gmv_from_item_fact"] = item_gmv
+            document["gmv_reconciliation_difference"] = difference
     return document
