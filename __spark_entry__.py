@@ -10,6 +10,7 @@ import os
 import sys
 from collections.abc import Callable
 from datetime import date
+from functools import lru_cache
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -57,17 +58,23 @@ def _plain(rows: DataFrame) -> DataFrame:
     return rows.select(*shown)
 
 
+@lru_cache(maxsize=4)
+def _planned(spark: SparkSession, folder: str) -> tuple[Sources, Model]:
+    """Plans only, no data: queries of one session share the planning of the facts."""
+    sources = read_star_sources(spark, folder)
+    return sources, plans.build_model(sources, item_spread=ITEM_SPREAD)
+
+
 def _from_sources(plan: Callable[[Sources], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return _plain(plan(read_star_sources(spark, folder)))
+        return _plain(plan(_planned(spark, folder)[0]))
 
     return query
 
 
 def _from_model(plan: Callable[[Model], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        sources = read_star_sources(spark, folder)
-        return _plain(plan(plans.build_model(sources, item_spread=ITEM_SPREAD)))
+        return _plain(plan(_planned(spark, folder)[1]))
 
     return query
 
@@ -82,8 +89,7 @@ def _month_keys(model: Model) -> DataFrame:
 
 
 def _fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    sources = read_star_sources(spark, folder)
-    model = plans.build_model(sources, item_spread=ITEM_SPREAD)
+    sources, model = _planned(spark, folder)
     items = sources.order_items.drop("shipping_limit_date")
     orders = sources.orders.select(
         "order_id", "customer_id", "order_status", "order_purchase_timestamp", "order_delivered_customer_date"

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarium.functions.columns import magnitude_bucket
+from bazaarium.operators.skew import mark_hot
 
 _BELOW_ALL = -(1 << 62)
 
@@ -17,41 +18,44 @@ def number_within(
     keys: Sequence[str],
     order: Sequence[Column],
     chunk: Column,
-    hot: DataFrame,
+    hot: DataFrame | None,
     out: str,
 ) -> DataFrame:
     """`row_number()` over `keys` in `order`, as column `out`.
 
-    `hot` lists the hot values of `keys[0]`. Their rows are cut into chunks by
-    `chunk`, a never-null expression that does not decrease along `order`; each
+    `hot` lists the hot values of `keys[0]`, if any. Their rows are cut into chunks
+    by `chunk`, a never-null expression that does not decrease along `order`; each
     chunk is numbered on its own and shifted by the number of rows in the chunks
-    before it. All other keys are numbered in one go. Rows whose first key is
-    null belong to no group: they get no number.
+    before it. All other keys are numbered in one go. Rows whose first key is null
+    are no group: they are spread by chunk too, and their number means nothing.
     """
-    group = ", ".join(keys)
-    marks = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    first = keys[0]
+    marked = rows if hot is None else mark_hot(rows, first, hot)
+    cut = F.expr(f"{first} IS NULL" if hot is None else f"_hot OR {first} IS NULL")
     within_chunk = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    numbered = (
-        rows.join(marks, keys[0], "left")
-        .withColumn("_chunk", F.when(F.expr(f"_hot OR {keys[0]} IS NULL"), chunk))
-        .withColumn("_position", F.row_number().over(within_chunk))
+    numbered = marked.withColumn("_chunk", F.when(cut, chunk)).withColumn(
+        "_position", F.row_number().over(within_chunk)
     )
+    if hot is None:
+        return numbered.selectExpr(*rows.columns, f"_position AS {out}")
+
     # One row per hot group and chunk. The last groupBy changes nothing but tells
     # the optimizer that its keys are unique, so an unused number costs nothing.
     before = F.expr(
-        f"""coalesce(sum(count(*)) OVER (PARTITION BY {group} ORDER BY _chunk
+        f"""coalesce(sum(count(*)) OVER (PARTITION BY {", ".join(keys)} ORDER BY _chunk
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"""
     )
     shifts = (
-        rows.join(F.broadcast(hot), keys[0], "left_semi")
+        rows.join(F.broadcast(hot), first, "left_semi")
         .select(*keys, chunk.alias("_chunk"))
         .groupBy(*keys, "_chunk")
         .agg(before.alias("_before"))
         .groupBy(*keys, "_chunk")
         .agg(F.max("_before").alias("_before"))
     )
-    number = f"CASE WHEN {keys[0]} IS NOT NULL THEN _position + coalesce(_before, 0) END AS {out}"
-    return numbered.join(shifts, [*keys, "_chunk"], "left").selectExpr(*rows.columns, number)
+    return numbered.join(shifts, [*keys, "_chunk"], "left").selectExpr(
+        *rows.columns, f"CAST(_position + coalesce(_before, 0) AS BIGINT) AS {out}"
+    )
 
 
 def dense_rank_descending(rows: DataFrame, units: str, out: str) -> DataFrame:

@@ -22,15 +22,24 @@ class SkewPolicy:
     salts: int = 256
 
 
-def hot_keys(rows: DataFrame, key: str, policy: SkewPolicy) -> DataFrame:
-    """The hot values of `key`: one column, fewer than `policy.max_keys` rows.
+def hot_keys(rows: DataFrame, key: str, policy: SkewPolicy) -> DataFrame | None:
+    """The hot values of `key` as one small local column, or None if there are none.
 
-    Counts are exact, not sketched: the same data always gives the same set, so
-    two branches of a plan, or a recomputed task, agree on it.
+    Runs one counting job, like gathering a statistic before planning: with nothing
+    hot, the plans built on it are the plain ones. Counts are exact and the result is
+    a constant, so all branches of a plan and every retried task agree on it.
     """
-    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    share = counts.agg((F.sum("n") / F.lit(policy.max_keys)).alias("share")).scalar()
-    return counts.filter((F.col("n") > policy.min_rows) & (F.col("n") > share)).select(key)
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    share = counts.agg((F.sum("_n") / F.lit(policy.max_keys)).alias("share")).scalar()
+    hot = counts.filter((F.col("_n") > policy.min_rows) & (F.col("_n") > share)).select(key)
+    # Fewer than policy.max_keys rows: more keys cannot each hold such a share.
+    found = hot.toArrow()
+    return rows.sparkSession.createDataFrame(found, hot.schema) if found.num_rows else None
+
+
+def mark_hot(rows: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Add `_hot`, true for rows of a hot key and null for others."""
+    return rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
 
 
 def salted_join(
@@ -38,7 +47,7 @@ def salted_join(
     lookup: DataFrame,
     key: str,
     spread: Sequence[str],
-    hot: DataFrame,
+    hot: DataFrame | None,
     policy: SkewPolicy,
     how: str = "left",
 ) -> DataFrame:
@@ -48,17 +57,15 @@ def salted_join(
     their own `spread` columns (so a retried task repeats the choice), and only
     the hot lookup rows are copied to all of them. Other keys join as usual.
     """
-    marks = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    if hot is None:
+        return rows.join(lookup, key, how)
     salt = F.pmod(F.xxhash64(*spread), F.lit(policy.salts)).cast("int")
-    spread_rows = (
-        rows.join(marks, key, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0)))
-        .drop("_hot")
-    )
     every_salt = F.sequence(F.lit(0), F.lit(policy.salts - 1))
-    copied = (
-        lookup.join(marks, key, "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_hot"), every_salt).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
+    spread_rows = mark_hot(rows, key, hot).select(
+        *rows.columns, F.when(F.col("_hot"), salt).otherwise(F.lit(0)).alias("_salt")
+    )
+    copied = mark_hot(lookup, key, hot).select(
+        *lookup.columns,
+        F.explode(F.when(F.col("_hot"), every_salt).otherwise(F.array(F.lit(0)))).alias("_salt"),
     )
     return spread_rows.join(copied, [key, "_salt"], how).drop("_salt")

@@ -54,13 +54,11 @@ def _in_period(period: Period) -> Column:
     return by_day & F.col("purchase_month").between(f"{first:%Y-%m}", f"{last:%Y-%m}")
 
 
-def _of_customers(rows: DataFrame, customers: DataFrame, spread: str) -> DataFrame:
+def _of_customers(rows: DataFrame, customers: DataFrame, model: Model) -> DataFrame:
     """Rows of the given distinct customers, one of whom may own most of the rows."""
-    policy = SkewPolicy()
-    key = "customer_unique_id"
-    return salted_join(
-        rows, customers.select(key), key, [spread], hot_keys(rows, key, policy), policy, how="left_semi"
-    )
+    policy, key = SkewPolicy(), "customer_unique_id"
+    hot = hot_keys(model.fact_orders, key, policy)
+    return salted_join(rows, customers.select(key), key, ["order_id"], hot, policy, how="left_semi")
 
 
 def _order_filters(rows: DataFrame, model: Model, selection: Selection) -> DataFrame:
@@ -70,7 +68,7 @@ def _order_filters(rows: DataFrame, model: Model, selection: Selection) -> DataF
         rows = rows.filter(F.col("customer_state").isin(list(selection.states)))
     if selection.segments is not None:
         chosen = model.mart_customer_rfm.filter(F.col("segment").isin(list(selection.segments)))
-        rows = _of_customers(rows, chosen, "order_id")
+        rows = _of_customers(rows, chosen, model)
     return rows
 
 
@@ -98,7 +96,7 @@ def select_sales(model: Model, selection: Selection) -> DataFrame:
     if selection.home_cities is not None:
         home = home.filter(F.col("customer_city").isin(list(selection.home_cities)))
     if home is not model.dim_customer:
-        rows = _of_customers(rows, home, "order_id")
+        rows = _of_customers(rows, home, model)
     return rows
 
 

@@ -144,7 +144,7 @@ def number_delivered_orders(
         hot=hot_keys(customers, "customer_unique_id", policy),
         out="_number",
     )
-    number = F.when(F.col("is_delivered") == 1, F.col("_number"))
+    number = F.expr("CASE WHEN is_delivered = 1 AND customer_unique_id IS NOT NULL THEN _number END")
     return numbered.withColumn("customer_delivered_order_number", number).drop("_number")
 
 
@@ -310,7 +310,10 @@ def build_model(
     policy: SkewPolicy = SkewPolicy(),
     item_spread: Sequence[str] = ("order_item_id",),
 ) -> Model:
-    """The whole model as lazy plans; nothing runs until a table is used."""
+    """The whole model as lazy plans.
+
+    A table is planned when it is first used; planning a fact counts its hot keys.
+    """
     model = Model(
         fact_orders=lambda: fact_orders(sources, policy),
         fact_sales=lambda: fact_sales(sources, model.fact_orders, policy, item_spread),

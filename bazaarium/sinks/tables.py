@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StringType
 
 from bazaarium import contracts
 from bazaarium.contracts import Model, Sources
@@ -38,11 +39,17 @@ def stage_sources(sources: Sources, root: str) -> Sources:
     return Sources(**staged)
 
 
+def _read_table(spark: SparkSession, location: str) -> DataFrame:
+    """A stored table; month partitions stay text, which Spark would take for dates."""
+    found = spark.read.parquet(location).schema
+    if "purchase_month" in found.names:
+        found["purchase_month"].dataType = StringType()
+    return spark.read.schema(found).parquet(location)
+
+
 def read_model(spark: SparkSession, root: str) -> Model:
     """The stored model."""
-    tables = {}
-    for name in Model.NAMES:
-        rows = spark.read.parquet(_location(root, name))
-        ddl = contracts.MODEL.get(name)
-        tables[name] = rows.select(*contracts.columns(ddl)) if ddl else rows
-    return Model(**tables)
+    stored = {name: _read_table(spark, _location(root, name)) for name in Model.NAMES}
+    for name, ddl in contracts.MODEL.items():
+        stored[name] = stored[name].select(*contracts.columns(ddl))
+    return Model(**stored)

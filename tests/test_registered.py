@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
 import pytest
 from conftest import records
@@ -27,7 +29,9 @@ def model(spark, star_folder, tmp_path_factory) -> Model:
     """The model of the smallest tables, stored as a job would store it."""
     planned = build_model(read_star_sources(spark, star_folder), item_spread=ITEM_SPREAD)
     root = str(tmp_path_factory.mktemp("model"))
-    return Model(**{name: tables.write_table(getattr(planned, name), root, name) for name in Model.NAMES})
+    for name in Model.NAMES:
+        tables.write_table(getattr(planned, name), root, name)
+    return tables.read_model(spark, root)
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +42,10 @@ def oracle(star_folder):
     return connection
 
 
+def _plan(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_every_query_has_an_oracle():
     assert set(registered.queries()) == set(registered.oracle_sql())
 
@@ -54,20 +62,31 @@ def test_query_equals_its_oracle(spark, star_folder, oracle, name):
 
 def test_plans_have_no_pairing_joins_and_no_python(spark, star_folder):
     for name, query in registered.queries().items():
-        plan = query(spark, star_folder)._jdf.queryExecution().executedPlan().toString()
+        plan = _plan(query(spark, star_folder))
         for banned in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas"):
             assert banned not in plan, (name, banned)
 
 
-def test_status_filter_reaches_the_scan(spark, star_folder):
-    plan = registered.queries()["mart_state_performance"](spark, star_folder)
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(o_orderstatus,F)" in text
-    # Payments, categories and order numbers are not needed and not planned.
+def test_unneeded_branches_are_not_planned(spark, star_folder):
+    text = _plan(registered.queries()["mart_state_performance"](spark, star_folder))
+    # Payments, categories and order numbers are not asked for.
     for unused in ("l_returnflag", "p_type", "Window", "l_linenumber"):
         assert unused not in text, unused
 
 
+def test_filters_and_columns_reach_the_stored_facts(spark, model):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    chosen = measures.Selection(period=registered.YEAR_2000, states=["NATION_1"])
+    text = _plan(measures.top_categories(model, chosen))
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "EqualTo(order_status,delivered)" in text
+    assert "EqualTo(customer_state,NATION_1)" in text
+    assert "PartitionFilters: [isnotnull(purchase_month" in text
+    assert text.count("FileScan") == 1
+    read = re.search(r"ReadSchema: struct<([^>]*)>", text).group(1)
+    assert "seller_id" not in read and "freight_value" not in read
+
+
 def test_results_depend_on_neither_salting_nor_partitions(spark, star_folder):
     eager = SkewPolicy(min_rows=1, max_keys=100_000, salts=3)
 
@@ -115,5 +134,6 @@ def test_stored_model_reads_back(spark, model):
     marts.register_views(model)
     months = spark.sql("SELECT count(*) AS n FROM mart_executive_monthly").first().n
     assert months == marts.executive_monthly(model).count() > 12
+    assert dict(spark.table("fact_sales").dtypes)["purchase_month"] == "string"
     assert spark.table("fact_orders").columns == list(model.fact_orders.columns)
     assert set(MODEL) < set(Model.NAMES)
