@@ -59,7 +59,7 @@ def _plain(rows: DataFrame) -> DataFrame:
 
 
 @lru_cache(maxsize=4)
-def _planned(spark: SparkSession, folder: str) -> tuple[Sources, Model]:
+def planned(spark: SparkSession, folder: str) -> tuple[Sources, Model]:
     """Plans only, no data: queries of one session share the planning of the facts."""
     sources = read_star_sources(spark, folder)
     return sources, plans.build_model(sources, item_spread=ITEM_SPREAD)
@@ -67,14 +67,14 @@ def _planned(spark: SparkSession, folder: str) -> tuple[Sources, Model]:
 
 def _from_sources(plan: Callable[[Sources], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return _plain(plan(_planned(spark, folder)[0]))
+        return _plain(plan(planned(spark, folder)[0]))
 
     return query
 
 
 def _from_model(plan: Callable[[Model], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return _plain(plan(_planned(spark, folder)[1]))
+        return _plain(plan(planned(spark, folder)[1]))
 
     return query
 
@@ -89,7 +89,7 @@ def _month_keys(model: Model) -> DataFrame:
 
 
 def _fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    sources, model = _planned(spark, folder)
+    sources, model = planned(spark, folder)
     items = sources.order_items.drop("shipping_limit_date")
     orders = sources.orders.select(
         "order_id", "customer_id", "order_status", "order_purchase_timestamp", "order_delivered_customer_date"

@@ -62,7 +62,7 @@ def build(
     document = quality.report(
         quality.source_row_counts(sources),
         raw,
-        quality.model_checks(orders, sales),
+        quality.model_checks(orders, sales, stored["mart_customer_rfm"]),
         reconciliation,
     )
     reports.write_json(spark, document, f"{results}/data_quality_report.json")

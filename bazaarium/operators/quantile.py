@@ -13,15 +13,21 @@ def exact_quantile(rows: DataFrame, units: str, q: float, out: str) -> DataFrame
 
     First a histogram over value buckets, whose size is bounded whatever the data
     (see `magnitude_bucket`), shows which bucket holds the two neighbouring
-    ranks; then only that bucket's distinct values are counted and walked.
+    ranks; then only that bucket's distinct values are walked.
     `percentile()` gives the same number but holds every distinct value in one task.
     """
-    valued = rows.selectExpr(f"{units} AS _units").filter("_units IS NOT NULL")
-    valued = valued.withColumn("_bucket", magnitude_bucket("_units"))
-
-    histogram = (
-        valued.groupBy("_bucket")
+    # Both steps start from these counts, so that `rows` is computed once: the
+    # second use reads the first one's shuffle again.
+    counts = (
+        rows.selectExpr(f"{units} AS _units")
+        .filter("_units IS NOT NULL")
+        .groupBy("_units")
         .agg(F.count("*").alias("_n"))
+        .withColumn("_bucket", magnitude_bucket("_units"))
+    )
+    histogram = (
+        counts.groupBy("_bucket")
+        .agg(F.sum("_n").alias("_n"))
         .selectExpr(
             "_bucket",
             "_n",
@@ -34,12 +40,8 @@ def exact_quantile(rows: DataFrame, units: str, q: float, out: str) -> DataFrame
     target = histogram.filter("_upto > _rank AND _upto - _n <= _rank + 1").selectExpr(
         "_bucket", "_rank", "_position", "_upto - _n AS _before"
     )
-    upto = "_before + sum(count(*)) OVER (PARTITION BY _bucket ORDER BY _units ROWS UNBOUNDED PRECEDING)"
-    near = (
-        valued.join(F.broadcast(target), "_bucket")
-        .groupBy("_bucket", "_before", "_rank", "_position", "_units")
-        .agg(F.expr(upto).alias("_upto"))
-    )
+    upto = "_before + sum(_n) OVER (PARTITION BY _bucket ORDER BY _units ROWS UNBOUNDED PRECEDING)"
+    near = counts.join(F.broadcast(target), "_bucket").withColumn("_upto", F.expr(upto))
     ends = near.agg(
         F.expr("min(CASE WHEN _upto > _rank THEN _units END)").alias("low"),
         F.expr("min(CASE WHEN _upto > _rank + 1 THEN _units END)").alias("high"),

@@ -37,7 +37,7 @@ def number_within(
         "_position", F.row_number().over(within_chunk)
     )
     if hot is None:
-        return numbered.selectExpr(*rows.columns, f"_position AS {out}")
+        return numbered.selectExpr(*rows.columns, f"CAST(_position AS BIGINT) AS {out}")
 
     # One row per hot group and chunk. The last groupBy changes nothing but tells
     # the optimizer that its keys are unique, so an unused number costs nothing.

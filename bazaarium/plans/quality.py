@@ -109,8 +109,11 @@ def _share(condition: Column) -> Column:
     return F.avg(F.coalesce(condition, F.lit(False)).cast("int"))
 
 
-def model_checks(orders: DataFrame, sales: DataFrame) -> DataFrame:
-    """Descriptive checks of the built facts; none of them fails the build."""
+def model_checks(orders: DataFrame, sales: DataFrame, rfm: DataFrame | None = None) -> DataFrame:
+    """Descriptive checks of the built facts; none of them fails the build.
+
+    The high-value threshold is taken from a stored `rfm` mart if there is one.
+    """
     delivered = F.col("order_status") == DELIVERED
     purchased = F.col("order_purchase_timestamp")
     on_orders = orders.agg(
@@ -130,9 +133,9 @@ def model_checks(orders: DataFrame, sales: DataFrame) -> DataFrame:
             "unknown_category_item_share"
         ),
     )
-    threshold = high_value_threshold(orders).withColumnRenamed(
-        "high_value_threshold_brl", "rfm_high_value_threshold_brl"
-    )
+    name = "high_value_threshold_brl"
+    found = high_value_threshold(orders) if rfm is None else rfm.agg(F.max(name).alias(name))
+    threshold = found.withColumnRenamed(name, f"rfm_{name}")
     return _union([_as_checks(one, required_zero=False) for one in (on_orders, on_sales, threshold)])
 
 
