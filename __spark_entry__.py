@@ -51,9 +51,9 @@ def _plain(rows: DataFrame) -> DataFrame:
         elif kind in ("tinyint", "smallint", "int"):
             column = column.cast("bigint")
         elif kind.startswith("timestamp"):
-            column = F.date_format(column, "yyyy-MM-dd HH:mm:ss")
+            column = F.substring(column.cast("string"), 1, 19)
         elif kind == "date":
-            column = F.date_format(column, "yyyy-MM-dd")
+            column = column.cast("string")
         shown.append(column.alias(name))
     return rows.select(*shown)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,8 +14,15 @@ _BUCKET_BITS = 12
 
 
 def elapsed_micros(start: Column, end: Column) -> Column:
-    """Exact elapsed time; calendar-day differences are never used."""
-    return F.timestamp_diff("MICROSECOND", start, end)
+    """Exact elapsed time between zoneless timestamps, as a whole number.
+
+    The interval is taken apart because `timestampdiff` would first place both
+    times in the session's zone, where clock changes move or lengthen some hours.
+    """
+    gap = end - start
+    parts = {"DAY": MICROS_PER_DAY, "HOUR": 3_600_000_000, "MINUTE": 60_000_000, "SECOND": 1_000_000}
+    pieces = [F.extract(F.lit(part), gap) * F.lit(size).cast("bigint") for part, size in parts.items()]
+    return reduce(Column.__add__, [piece.cast("bigint") for piece in pieces])
 
 
 def elapsed_days(start: Column, end: Column) -> Column:
@@ -42,8 +51,9 @@ def sure_flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("int")
 
 
-def month_key(timestamp: Column) -> Column:
-    return F.date_format(timestamp, "yyyy-MM")
+def month_key(moment: Column) -> Column:
+    """`YYYY-MM` of a zoneless timestamp or date; formatting it would involve a zone."""
+    return F.substring(moment.cast("string"), 1, 7)
 
 
 def month_start(key: Column) -> Column:

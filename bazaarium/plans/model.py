@@ -39,8 +39,8 @@ SALES_ORDER_COLUMNS = (
     "primary_payment_type", "max_installments",
 )
 
-# Later than any purchase: gives rows without a purchase time the last chunk.
-_NO_TIME = "9999-12-31 00:00:00"
+# After any hour as text: gives rows without a purchase time the last chunk.
+_NO_TIME = "9999-12-31 24"
 
 
 def translated_products(products: DataFrame, translation: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def number_delivered_orders(
     without repeating the join. A hot person is numbered hour by hour.
     """
     purchased = F.col("order_purchase_timestamp")
-    hour = F.date_trunc("HOUR", F.coalesce(purchased, F.lit(_NO_TIME).cast("timestamp_ntz")))
+    hour = F.coalesce(F.substring(purchased.cast("string"), 1, 13), F.lit(_NO_TIME))
     numbered = number_within(
         orders_with_customer,
         keys=["customer_unique_id", "is_delivered"],

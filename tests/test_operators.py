@@ -11,7 +11,14 @@ from conftest import records
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from bazaarium.functions.columns import magnitude_bucket, month_start
+from bazaarium.functions.columns import (
+    MICROS_PER_DAY,
+    elapsed_days,
+    elapsed_micros,
+    magnitude_bucket,
+    month_key,
+    month_start,
+)
 from bazaarium.operators.quantile import exact_quantile
 from bazaarium.operators.ranking import dense_rank_descending, number_within
 from bazaarium.operators.skew import SkewPolicy, hot_keys, salted_join
@@ -116,3 +123,20 @@ def test_month_keys_become_first_of_month(spark):
     rows = spark.createDataFrame([("2018-02",), ("2018-02-17",), ("",), (None,)], "m string")
     starts = [str(row.d) for row in rows.select(month_start(F.col("m")).alias("d")).collect()]
     assert starts == ["2018-02-01", "2018-02-01", "None", "None"]
+
+
+def test_elapsed_time_is_the_same_in_every_session_zone(spark):
+    # 02:41 does not exist in New York on that day; the year has a longer day too.
+    times = "timestamp_ntz'1996-04-07 02:41:00' AS a, timestamp_ntz'1997-04-08 02:40:59.000001' AS b"
+    gap = 366 * MICROS_PER_DAY - 999_999
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    for session_zone in ("UTC", "America/New_York", "Australia/Lord_Howe"):
+        spark.conf.set("spark.sql.session.timeZone", session_zone)
+        row = spark.sql(f"SELECT {times}").select(
+            elapsed_micros(F.col("a"), F.col("b")).alias("after"),
+            elapsed_micros(F.col("b"), F.col("a")).alias("before"),
+            elapsed_days(F.col("a"), F.col("a")).alias("none"),
+            month_key(F.col("a")).alias("month"),
+        ).first()
+        assert tuple(row) == (gap, -gap, 0.0, "1996-04")
+    spark.conf.set("spark.sql.session.timeZone", zone)
