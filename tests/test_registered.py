@@ -50,6 +50,10 @@ def test_every_query_has_an_oracle():
     assert set(registered.queries()) == set(registered.oracle_sql())
 
 
+def test_entry_has_rows(spark, star_folder):
+    assert registered.entry(spark).count() > 12
+
+
 @pytest.mark.parametrize("name", COMPARED)
 def test_query_equals_its_oracle(spark, star_folder, oracle, name):
     found = registered.queries()[name](spark, star_folder)
