@@ -6,6 +6,7 @@ that two engines can be compared value by value; see `oracles.py`.
 
 from __future__ import annotations
 
+import importlib
 import os
 import sys
 from collections.abc import Callable
@@ -105,6 +106,18 @@ def _fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return prints
 
 
+def _of_llm(name: str) -> dict:
+    """Queries, or SQL, of the subpackage llm and of the pipeline, where they are installed."""
+    found = {}
+    for module in ("bazaarium.llm.queries", "corpus_pipeline"):
+        try:
+            found.update(getattr(importlib.import_module(module), name)())
+        except ModuleNotFoundError as error:
+            if not (error.name or "").startswith(("bazaarium.llm", "corpus_pipeline")):
+                raise
+    return found
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: the monthly executive mart."""
     return queries()["mart_executive_monthly"](spark, "/root/testdata/sf0.001")
@@ -173,8 +186,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = {name: _from_sources(plan) for name, plan in from_sources.items()}
     registered.update({name: _from_model(plan) for name, plan in from_model.items()})
     registered["table_fingerprints"] = _fingerprints
-    return registered
+    return registered | _of_llm("queries")
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    return oracles.oracle_sql() | _of_llm("oracle_sql")
