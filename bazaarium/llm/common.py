@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -71,6 +71,42 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def content_digest(text: Column) -> Column:
+    """SHA-256 of the text in UTF-8, 32 bytes."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
+def read_ledger(spark: SparkSession, path: str, version: str, values: str) -> DataFrame | None:
+    """(digest, values) of one version, one row for each digest; None before anything was written.
+
+    Two runs may have appended the same digest at the same time. Values are a function
+    of digest and version, so either row will do.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    rows = spark.read.schema(f"digest binary, version string, {values}").parquet(path).filter(F.col("version") == version)
+    names = [n for n in rows.columns if n not in ("digest", "version")]
+    return rows.groupBy("digest").agg(*(F.max(n).alias(n) for n in names))
+
+
+def complete_ledger(texts: DataFrame, path: str, version: str, values: str, work: Callable) -> DataFrame:
+    """Does the work for each distinct text that the ledger lacks, appends it, and reads the ledger.
+
+    texts: (digest, text), one row for each document. Copies are dropped before the
+    shuffle, so a text that many documents hold is no hot key. work maps Arrow batches
+    of (digest, text) to batches of (digest, version, values).
+    """
+    spark = texts.sparkSession
+    missing = texts.select("digest", "text").dropDuplicates(["digest"])
+    known = read_ledger(spark, path, version, values)
+    if known is not None:
+        missing = missing.join(known, "digest", "left_anti")
+    schema = f"digest binary, version string, {values}"
+    missing.mapInArrow(work, schema).write.mode("append").parquet(path)
+    return read_ledger(spark, path, version, values)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Lets workers import this package where nobody passed it with --py-files; once per application.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarium.llm import byte_shards, config_packing, token_counts, trie_dedup
+from bazaarium.llm import byte_shards, config_packing, repetition, secret_ledger, token_counts, trie_dedup
 from bazaarium.llm.common import ship_package
 
 #: Token counts above this are marked.
@@ -31,6 +31,22 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LONG_DOCUMENT).alias("over_limit"))
 
 
+def op2_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.measure(documents(spark, sf_dir))
+
+
+def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_ledger.scan(documents(spark, sf_dir))
+    spans = F.col("spans")
+
+    def number(kind: str):
+        return F.size(secret_ledger.of_kinds(spans, (kind,))).cast("long").alias(f"n_{kind}")
+
+    kinds = tuple(rule.kind for rule in secret_ledger.BASE)
+    base = F.array_join(secret_ledger.of_kinds(spans, kinds), ",")
+    return found.select("doc_id", *map(number, kinds), F.sha2(base.cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_dedup.assign(documents(spark, sf_dir), keep="largest")
 
@@ -47,7 +63,7 @@ def op10_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op7_byte_shards, op10_config_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_repetition_rules, op3_exact_dedup, op4_secret_ledger, op7_byte_shards, op10_config_packing)}
 
 
 OP3_SQL = """

@@ -1,6 +1,6 @@
 """Token counts through a digest cache (operator 1).
 
-The cache is a table of (content_digest, tokenizer_digest, n_tokens). A text is keyed by
+The cache is a ledger of (digest, version, n_tokens). A text is keyed by
 the SHA-256 of its normalised content, a tokenizer by the SHA-256 of its file and
 options. Counting joins the documents to the cache, encodes one copy of each text that
 is not there, appends those counts, and joins again. Copies, earlier runs and earlier
@@ -23,14 +23,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarium.llm.common import CHUNK_BYTES, chunks, id_and_text, new_path
+from bazaarium.llm.common import CHUNK_BYTES, chunks, complete_ledger, content_digest, id_and_text, new_path
 
 #: Part of the key, so that counts made with other options are never reused.
 OPTIONS = "sentencepiece;no-bos;no-eos"
-CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 #: Distinct words whose counts a worker remembers; beyond it, it starts afresh.
 REMEMBERED_WORDS = 1_000_000
 _LONGEST_REMEMBERED = 64
@@ -95,49 +94,29 @@ def _counter(model_path: str) -> PieceCounter:
     return PieceCounter(model_path)
 
 
-def _encode(model_path: str, digest: str):
+def _encode(model_path: str, version: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(model_path)
         for batch in chunks(batches, 1, 4 * CHUNK_BYTES):
             counts = counter.count(batch.column(1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.binary()), pa.array([digest] * len(counts), pa.string()), pa.array(counts)],
-                ["content_digest", "tokenizer_digest", "n_tokens"],
+                [batch.column(0), pa.array([version] * len(counts), pa.string()), pa.array(counts)],
+                ["digest", "version", "n_tokens"],
             )
 
     return run
 
 
-def content_digest(text: Column) -> Column:
-    return F.unhex(F.sha2(text.cast("binary"), 256))
-
-
-def _cached(spark, cache_path: str, digest: str) -> DataFrame | None:
-    """The cache's counts for one tokenizer, one row for each digest; None before the first run."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return None
-    rows = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer_digest") == digest)
-    return rows.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
-
-
 def count_tokens(
     docs: DataFrame, model_path: str, cache_path: str | None = None, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """(doc_id, content_digest, n_bytes, n_tokens), one row for each document.
+    """(doc_id, digest, n_bytes, n_tokens), one row for each document.
 
     cache_path keeps counts between runs; without it, the cache serves this call alone.
-    Two runs that append the same digest do no harm, as counts are a function of the key.
     """
-    spark = docs.sparkSession
-    digest = tokenizer_digest(model_path)
-    path = cache_path or new_path(spark, "token-cache")
-    texts = id_and_text(docs, id_column, text_column).withColumn("content_digest", content_digest(F.col("text")))
-    # One text of each digest; copies are dropped before the shuffle, so a hot text is no hot key.
-    missing = texts.select("content_digest", "text").dropDuplicates(["content_digest"])
-    known = _cached(spark, path, digest)
-    if known is not None:
-        missing = missing.join(known, "content_digest", "left_anti")
-    missing.mapInArrow(_encode(model_path, digest), CACHE_SCHEMA).write.mode("append").parquet(path)
-    sizes = texts.select("doc_id", "content_digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    return sizes.join(_cached(spark, path, digest), "content_digest").select("doc_id", "content_digest", "n_bytes", "n_tokens")
+    version = tokenizer_digest(model_path)
+    path = cache_path or new_path(docs.sparkSession, "token-cache")
+    texts = id_and_text(docs, id_column, text_column).withColumn("digest", content_digest(F.col("text")))
+    counts = complete_ledger(texts, path, version, "n_tokens long", _encode(model_path, version))
+    sizes = texts.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
+    return sizes.join(counts, "digest").select("doc_id", "digest", "n_bytes", "n_tokens")
