@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarium.llm import byte_shards, config_packing, repetition, secret_ledger, token_counts, trie_dedup
+from bazaarium.llm import byte_shards, config_packing, repetition, secret_ledger, sketch_dedup, token_counts, trie_dedup
 from bazaarium.llm.common import ship_package
 
 #: Token counts above this are marked.
@@ -51,6 +51,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_dedup.assign(documents(spark, sf_dir), keep="largest")
 
 
+def op6_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = byte_shards.shard_documents(documents(spark, sf_dir), SHARDS)
     return placed.select(
@@ -63,7 +67,7 @@ def op10_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_repetition_rules, op3_exact_dedup, op4_secret_ledger, op7_byte_shards, op10_config_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_repetition_rules, op3_exact_dedup, op4_secret_ledger, op6_sketch_dedup, op7_byte_shards, op10_config_packing)}
 
 
 OP3_SQL = """
