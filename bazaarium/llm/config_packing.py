@@ -47,7 +47,7 @@ ROUNDS = 150
 #: The share of a length's demand that one step covers, and how fast its price falls.
 STEP, FALL = 0.25, 2.0
 #: Distinct words whose ids a worker remembers; beyond it, it starts afresh.
-REMEMBERED_WORDS = 1_000_000
+REMEMBERED_WORDS = 500_000
 _LONGEST_REMEMBERED = 64
 
 Configuration = tuple[tuple[int, int], ...]
@@ -284,7 +284,7 @@ def _pieces(path: str, end_id: int, capacity: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen, part = _word_ids(path), Counter(), TaskContext.get().partitionId()
-        for batch in chunks(batches, 1, 4 * CHUNK_BYTES):
+        for batch in chunks(batches, 1, 2 * CHUNK_BYTES):
             ids, bounds = words.encode(batch.column(1))
             rows = []
             for doc_id, low, high in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
