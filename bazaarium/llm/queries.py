@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarium.llm import byte_shards, config_packing, repetition, secret_ledger, sketch_dedup, token_counts, trie_dedup
+from bazaarium.llm import (
+    byte_shards,
+    config_packing,
+    cross_entropy,
+    piece_transducer,
+    preference_format,
+    repetition,
+    secret_ledger,
+    sketch_dedup,
+    token_counts,
+    trie_dedup,
+)
 from bazaarium.llm.common import ship_package
 
 #: Token counts above this are marked.
@@ -51,8 +62,15 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_dedup.assign(documents(spark, sf_dir), keep="largest")
 
 
+def op5_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k and 2k + 1 are the two sides of pair k; the even one is chosen."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    number = F.col("conv_id").cast("long")
+    return preference_format.format_pairs(turns, F.shiftright(number, 1), number.bitwiseAND(1) == 0, number)
+
+
 def op6_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch_dedup.near_duplicates(documents(spark, sf_dir))
+    return sketch_dedup.near_duplicates(documents(spark, sf_dir), sketch_dedup.Likeness(words=4, percent=80))
 
 
 def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,12 +80,35 @@ def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents with a label of good quality. Background: all documents."""
+    marked = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
+    return cross_entropy.score(documents(spark, sf_dir), marked)
+
+
+def op9_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = piece_transducer.encode(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids_crc32", "round_trip")
+
+
 def op10_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config_packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_repetition_rules, op3_exact_dedup, op4_secret_ledger, op6_sketch_dedup, op7_byte_shards, op10_config_packing)}
+    every = (
+        op1_token_counts,
+        op2_repetition_rules,
+        op3_exact_dedup,
+        op4_secret_ledger,
+        op5_preference_format,
+        op6_sketch_dedup,
+        op7_byte_shards,
+        op8_cross_entropy,
+        op9_piece_transducer,
+        op10_config_packing,
+    )
+    return {query.__name__: query for query in every}
 
 
 OP3_SQL = """
@@ -82,5 +123,55 @@ ranked AS (
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(text) AS text_sha256 FROM ranked
 """
 
+OP5_SQL = """
+WITH said AS (
+    SELECT conv_id, conv_id >> 1 AS pair_id, conv_id % 2 = 0 AS is_chosen,
+           coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+sides AS (
+    SELECT pair_id, min(conv_id) FILTER (is_chosen) AS chosen_id, min(conv_id) FILTER (NOT is_chosen) AS rejected_id
+    FROM said GROUP BY pair_id
+),
+met AS (
+    SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.place, b.place) AS place,
+           coalesce(a.role = b.role AND a.text = b.text, false) AS equal
+    FROM (FROM said WHERE is_chosen) a
+    FULL JOIN (FROM said WHERE NOT is_chosen) b ON a.pair_id = b.pair_id AND a.place = b.place
+),
+prefixes AS (
+    SELECT pair_id, coalesce(min(place) FILTER (NOT equal) - 1, max(place)) AS n_common FROM met GROUP BY pair_id
+),
+rendered AS (
+    SELECT said.*, n_common, '<|' || role || '|>
+' || text || '<|end|>
+' AS shown, length(role) + 5 AS head
+    FROM said JOIN prefixes USING (pair_id)
+),
+prompts AS (
+    SELECT pair_id, string_agg(shown, '' ORDER BY place) AS prompt
+    FROM rendered WHERE is_chosen AND place <= n_common GROUP BY pair_id
+),
+placed AS (
+    SELECT *, sum(length(shown)) OVER (PARTITION BY conv_id ORDER BY place) AS stop
+    FROM rendered WHERE place > n_common
+),
+completions AS (
+    SELECT pair_id, is_chosen, string_agg(shown, '' ORDER BY place) AS completion,
+           string_agg((stop - length(shown) + head) || ':' || stop, ',' ORDER BY place) FILTER (role = 'assistant') AS spans
+    FROM placed GROUP BY pair_id, is_chosen
+)
+SELECT sides.pair_id, chosen_id, rejected_id, n_common::INTEGER AS n_common, coalesce(prompt, '') AS prompt,
+       CASE WHEN chosen_id IS NOT NULL THEN coalesce(a.completion, '') END AS chosen,
+       CASE WHEN rejected_id IS NOT NULL THEN coalesce(b.completion, '') END AS rejected,
+       CASE WHEN chosen_id IS NOT NULL THEN coalesce(a.spans, '') END AS chosen_spans,
+       CASE WHEN rejected_id IS NOT NULL THEN coalesce(b.spans, '') END AS rejected_spans
+FROM sides JOIN prefixes USING (pair_id) LEFT JOIN prompts USING (pair_id)
+LEFT JOIN completions a ON a.pair_id = sides.pair_id AND a.is_chosen
+LEFT JOIN completions b ON b.pair_id = sides.pair_id AND NOT b.is_chosen
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op5_preference_format": OP5_SQL}
