@@ -37,8 +37,8 @@ class Rules:
 
     min_words: int = 50
     max_repeat_words_percent: int = 50
-    #: Length of n-gram -> largest share of characters under repeated ones.
-    ngram_shares: tuple[tuple[int, float], ...] = ((5, 0.30), (6, 0.28), (7, 0.26), (8, 0.24), (9, 0.22), (10, 0.20))
+    #: Length of n-gram -> largest share of characters under repeats.
+    ngram_shares: tuple[tuple[int, float], ...] = ((5, 0.30), (6, 0.29), (7, 0.28), (8, 0.27), (9, 0.26), (10, 0.25))
     #: Largest share of characters in lines that repeat an earlier one.
     line_share: float = 0.30
 
@@ -66,14 +66,15 @@ def word_characters(text: bytes) -> int:
     return len(text.translate(None, _INNER + _SPACE))
 
 
-def _under_repeats(codes: np.ndarray, n: int, words: int) -> np.ndarray:
-    """Which words lie under an n-gram whose code occurs more than once."""
+def _under_repeats(codes: np.ndarray, n: int, words: int, first: bool) -> np.ndarray:
+    """Which words lie under an n-gram whose code occurs more than once, the first one counted or not."""
     order = np.argsort(codes, kind="stable")
     ranked = codes[order]
     same = ranked[1:] == ranked[:-1]
     repeated = np.zeros(len(codes), bool)
     repeated[order[1:]] = same
-    repeated[order[:-1]] |= same
+    if first:
+        repeated[order[:-1]] |= same
     edges = np.zeros(words + 1, np.int64)
     edges[: len(codes)] += repeated
     edges[n : n + len(codes)] -= repeated
@@ -107,7 +108,7 @@ def measure_text(text: bytes, rules: Rules = Rules()) -> Measures:
     numbers = np.fromiter(map(book.__getitem__, words), np.int64, len(words))
     repeat_words, covered = 0, [0] * len(rules.ngram_shares)
     if len(words) >= _WINDOW:
-        repeat_words = int(_under_repeats(_triples(numbers, len(book)), _WINDOW, len(words)).sum())
+        repeat_words = int(_under_repeats(_triples(numbers, len(book)), _WINDOW, len(words), True).sum())
     if repeat_words:  # a longer n-gram that repeats has windows of three that repeat
         weights = np.fromiter(map(word_characters, book), np.int64, len(book))[numbers]
         mixed = (numbers.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
@@ -119,7 +120,7 @@ def measure_text(text: bytes, rules: Rules = Rules()) -> Measures:
                 length += 1
             if length < n:
                 break
-            covered[place] = int(weights[_under_repeats(codes, n, len(words))].sum())
+            covered[place] = int(weights[_under_repeats(codes, n, len(words), False)].sum())
             if not covered[place]:
                 break
     failed = len(words) < rules.min_words or 100 * repeat_words > rules.max_repeat_words_percent * len(words)
