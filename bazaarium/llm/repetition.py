@@ -2,8 +2,8 @@
 
 Words are runs of characters other than ASCII white space. Each word gets a number, and
 rolling hashes over those numbers, for every length of n-gram, find the n-grams that a
-text holds more than once; the characters of words under any of them are the coverage
-at that length. Lines that repeat an earlier line are measured likewise. A document is
+text holds more than once; the characters of words under any repeat, first occurrences
+not counted, are the coverage at that length. Lines that repeat an earlier line are measured likewise. A document is
 rejected if a share is above its limit, and before that by the base rules: too few
 words, or too many words under repeated windows of three.
 

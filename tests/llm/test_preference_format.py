@@ -1,0 +1,91 @@
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from bazaarium.llm import preference_format, queries
+
+from .conftest import rows
+
+SCHEMA = "conv_id long, turn long, role string, text string, n_common int, a string, pair_id string"
+
+
+def pairs(spark, *turns):
+    table = spark.createDataFrame([(*t, 1, "a", "p") for t in turns], SCHEMA)
+    number = F.col("conv_id")
+    return preference_format.format_pairs(table, F.shiftright(number, 1), number.bitwiseAND(1) == 0, number)
+
+
+def expected(turns) -> list[tuple]:
+    sides: dict[int, dict[int, list]] = {}
+    for conv, turn, role, text in turns:
+        if conv is not None:
+            key = (turn is not None, turn or 0, role is not None, role or "", text is not None, text or "")
+            sides.setdefault(conv >> 1, {}).setdefault(conv & 1, []).append((key, role or "", text or ""))
+    out = []
+    for pair, held in sides.items():
+        a, b = ([t[1:] for t in sorted(held.get(side, []))] for side in (0, 1))
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+
+        def render(said):
+            return "".join(f"<|{r}|>\n{t}<|end|>\n" for r, t in said)
+
+        def spans(said):
+            at, found = 0, []
+            for r, t in said:
+                end = at + len(render([(r, t)]))
+                if r == "assistant":
+                    found.append(f"{at + len(r) + 5}:{end}")
+                at = end
+            return ",".join(found)
+
+        def side(said, number):
+            there = number in held
+            return (render(said[n:]) if there else None, spans(said[n:]) if there else None)
+
+        (chosen, cs), (rejected, rs) = side(a, 0), side(b, 1)
+        out.append((pair, pair * 2 if 0 in held else None, pair * 2 + 1 if 1 in held else None, n, render(a[:n]), chosen, rejected, cs, rs))
+    return sorted(out, key=repr)
+
+
+def test_the_prompt_is_the_common_prefix_and_completions_are_masked(spark):
+    turns = [
+        (0, 0, "user", "hi é漢"), (0, 1, "assistant", "good"), (0, 2, "user", "more"), (0, 3, "assistant", "yes"),
+        (1, 0, "user", "hi é漢"), (1, 1, "assistant", "bad"),
+    ]
+    found = rows(pairs(spark, *turns))
+    assert found == expected(turns)
+    (row,) = found
+    assert row[4] == "<|user|>\nhi é漢<|end|>\n"
+    for text, spans in ((row[5], row[7]), (row[6], row[8])):
+        learnt = [text[int(s) : int(e)] for s, e in (x.split(":") for x in spans.split(","))]
+        assert learnt == (["good<|end|>\n", "yes<|end|>\n"] if "good" in text else ["bad<|end|>\n"])
+
+
+def test_edges(spark):
+    turns = [
+        (2, 0, "user", "same"), (3, 0, "user", "same"),  # equal sides
+        (4, 0, "user", "alone"),  # no rejected side
+        (7, 0, None, None), (7, 1, "assistant", ""),  # no chosen side, nulls
+        (8, 1, "b", "x"), (8, 1, "a", "x"), (8, 1, "a", "x"), (8, None, "z", "y"),  # ties and repeated rows
+        (9, None, "z", "y"), (9, 1, "a", "x"),
+        (None, 0, "user", "lost"),
+        (10, 0, "assistant", "w " * 50_000), (11, 0, "user", "w"),
+        (12, 0, "user", "q"), (12, 1, "assistant", "p"), (13, 0, "user", "q"),  # one side is a prefix
+    ]
+    assert rows(pairs(spark, *turns)) == expected(turns)
+
+
+def test_an_empty_table_gives_an_empty_result(spark):
+    assert rows(pairs(spark)) == []
+
+
+def test_the_plan_has_no_python_and_one_shuffle(spark, small_folder):
+    plan = queries.op5_preference_format(spark, small_folder)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and plan.count("Exchange") == 1
+
+
+def test_the_query_holds_for_every_pair(spark, small_folder):
+    table = spark.read.parquet(f"{small_folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    assert rows(queries.op5_preference_format(spark, small_folder)) == expected([tuple(r) for r in table.collect()])
