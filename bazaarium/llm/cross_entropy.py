@@ -6,8 +6,9 @@ documents. A document's score is its mean loss per token under the target minus
 under the background; the lower, the more it resembles the target.
 
 Counts are taken over the whole corpus. Each task adds up its own, so what travels is a
-row for each trigram and task. The vocabulary bounds the model: 256^3 cells, as two
-tables of 4-byte losses, 128 MiB, whatever the corpus; that is what is sent to workers.
+row for each trigram and task. The vocabulary bounds the model whatever the corpus: at
+most 256^3 cells can occur, and workers are sent the counts of those that do, from which
+each makes its two tables of 4-byte losses, 128 MiB in all.
 
 Losses are interpolated by Witten and Bell: an order trusts its own counts as far as its
 context was followed by the same few tokens, and the next lower order for the rest, down
@@ -19,6 +20,7 @@ null ids count row by row. An empty table gives an empty result; other columns a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,6 +91,18 @@ def losses(cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return -np.log(chance)
 
 
+_LOADED: dict[str, list[np.ndarray]] = {}
+
+
+def _tables(model) -> list[np.ndarray]:
+    """Losses under target and background; a worker keeps those of one model."""
+    name, cells, *counts = model.value
+    if name not in _LOADED:
+        _LOADED.clear()
+        _LOADED[name] = [losses(cells.astype(np.int64), n.astype(np.float64)) for n in counts]
+    return _LOADED[name]
+
+
 def count_trigrams(docs: DataFrame, marked: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(cell, background, target) over all documents; marked has the target's ids in its first column."""
     ids = marked.select(marked[marked.columns[0]].cast("long").alias("marked_id")).distinct()
@@ -104,17 +118,15 @@ def score(
     """(doc_id, n_tokens, target_loss, background_loss, difference) of scored, or else of docs."""
     spark = docs.sparkSession
     found = count_trigrams(docs, marked, id_column, text_column).toPandas()  # at most 256^3 rows
-    cells = found["cell"].to_numpy(np.int64)
-    tables = spark.sparkContext.broadcast(
-        [losses(cells, found[name].to_numpy(np.float64)) for name in ("target", "background")]
-    )
+    counts = [found[name].to_numpy(np.uint64) for name in ("target", "background")]
+    model = spark.sparkContext.broadcast((uuid.uuid4().hex, found["cell"].to_numpy(np.int32), *counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 1, CHUNK_BYTES):
             at, ends = trigrams(batch.column(1))
             sizes = np.diff(ends)
             means = []
-            for table in tables.value:
+            for table in _tables(model):
                 sums = np.concatenate(([0.0], np.cumsum(table[at], dtype=np.float64)))
                 means.append(np.diff(sums[ends]) / np.maximum(sizes, 1))
             empty = sizes == 0
