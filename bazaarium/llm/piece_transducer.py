@@ -26,6 +26,7 @@ rewrite characters first (a compiled character map) are refused.
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -40,9 +41,11 @@ from bazaarium.llm.common import CHUNK_BYTES, chunks, id_and_text
 
 MARK = "▁"
 #: Stretches whose ids, and pairs whose passage, a worker remembers; beyond it, it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED, REMEMBERED_PAIRS = 1_000_000, 400_000
 _LONGEST_REMEMBERED = 64
 _INFINITE = float("inf")
+#: What bytes weigh beside pieces of a unigram model, whose weights are far smaller.
+_FALLBACK_WEIGHT = 100.0
 
 
 UNIGRAM, BYTE_PAIR = 1, 2
@@ -124,8 +127,24 @@ class PieceTransducer:
         #: Places that no piece spans: before a mark that follows something else, and around line feeds.
         simple = not any(a != MARK and b == MARK or "\n" in (a, b) for a, b in met) and "\n" not in self.pieces
         self.stretches = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+").findall if simple else lambda text: [text]
+        #: ASCII punctuation that no piece has right after a letter; between the two, too, a text is cut.
+        after_letter = {b for a, b in met if a.isalpha()}
+        self.closing = "".join(c for c in string.punctuation if c not in after_letter) if simple else ""
+        self._compile()
         self.known: dict[str, bytes] = {}
-        self.passing: dict[tuple[int, int], bool] = {}
+        self.passing: dict[int, bool] = {}
+
+    def _compile(self) -> None:
+        """The piece machine, read backwards: every end of a piece -> the piece's id, or -1 if it is only an end.
+
+        Of a byte-pair model, pieces that merging their characters never gives are left out.
+        """
+        self.ends: dict[str, int] = {}
+        for piece, i in self.pieces.items():
+            for k in range(1, len(piece)):
+                self.ends.setdefault(piece[k:], -1)
+            if not self.by_rank or self._merged(piece) == [piece]:
+                self.ends[piece] = i
 
     # --- the gate ---
 
@@ -144,25 +163,12 @@ class PieceTransducer:
         return parts
 
     def _passes(self, before: int, piece: int) -> bool:
-        if not self.by_rank or before < 0:
-            return True
-        pair = (before, piece)
-        passes = self.passing.get(pair)
-        if passes is None:
-            left, right = self.spelt[before], self.spelt[piece]
-            if len(self.passing) >= REMEMBERED:
-                self.passing.clear()
-            passes = self.passing[pair] = self._merged(left + right) == [left, right]
+        left, right = self.spelt[before], self.spelt[piece]
+        if len(self.passing) >= REMEMBERED_PAIRS:
+            self.passing.clear()
+        passes = self.passing[before << 32 | piece] = self._merged(left + right) == [left, right]
         return passes
 
-    def _alone(self, piece: int) -> bool:
-        """Whether merging a piece's characters gives the piece; no text holds it otherwise."""
-        return not self.by_rank or len(self.spelt[piece]) == 1 or self._stands(piece)
-
-    @lru_cache(maxsize=None)  # noqa: B019  one entry for each piece, in an object that lives as long as its worker
-    def _stands(self, piece: int) -> bool:
-        return self._merged(self.spelt[piece]) == [self.spelt[piece]]
-
     # --- composition and shortest path ---
 
     def _compose(self, text: str) -> array:
@@ -170,24 +176,34 @@ class PieceTransducer:
 
         With a byte-pair gate at most one path reaches a position, so a position is a state.
         """
-        n = len(text)
+        n, by_rank, passing, ends = len(text), self.by_rank, self.passing, self.ends
         weight, last, back = [_INFINITE] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
         weight[0] = 0.0
         for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                if weight[start] == _INFINITE:
-                    continue
-                piece = self.pieces.get(text[start:end])
-                if piece is None:
-                    if start < end - 1 or text[start] in self.pieces:
-                        continue
-                    cost, piece = (0.0 if self.by_rank else 100.0), -1  # the fallback path
-                elif not self._alone(piece) or not self._passes(last[start], piece):
+            least = _INFINITE
+            for start in range(end - 1, -1, -1):
+                piece = ends.get(text[start:end])
+                if piece is None:  # no piece ends like this
+                    break
+                if piece < 0 or weight[start] == _INFINITE:
                     continue
+                cost = weight[start]
+                if by_rank:
+                    if (before := last[start]) >= 0:
+                        passes = passing.get(before << 32 | piece)
+                        if passes is False or passes is None and not self._passes(before, piece):
+                            continue
                 else:
-                    cost = 0.0 if self.by_rank else -self.scores[piece]
-                if weight[start] + cost < weight[end]:
-                    weight[end], last[end], back[end] = weight[start] + cost, piece, start
+                    cost -= self.scores[piece]
+                if cost < least:
+                    least, last[end], back[end] = cost, piece, start
+                    if not cost and by_rank:  # nothing weighs less
+                        break
+            if text[end - 1] not in self.pieces:  # the fallback path
+                cost = weight[end - 1] + (0.0 if by_rank else _FALLBACK_WEIGHT)
+                if cost < least:
+                    least, last[end], back[end] = cost, -1, end - 1
+            weight[end] = least
         path, at = [], n
         while at:
             path.append((last[at], back[at], at))
@@ -203,7 +219,11 @@ class PieceTransducer:
     def _stretch(self, text: str) -> bytes:
         ids = self.known.get(text)
         if ids is None:
-            ids = self._compose(text).tobytes()
+            word = text.rstrip(self.closing)
+            if word and len(word) < len(text) and word[-1].isalpha():
+                ids = self._stretch(word) + self._stretch(text[len(word) :])
+            else:
+                ids = self._compose(text).tobytes()
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             if len(text) <= _LONGEST_REMEMBERED:

@@ -35,6 +35,7 @@ def test_a_unigram_model_takes_the_path_of_least_weight():
     machine.by_rank = False
     machine.pieces = {p: i for i, p in enumerate(["▁a", "b", "ab", "▁", "a", "bab"])}
     machine.scores = [-3.0, -2.0, -2.5, -1.0, -2.0, -3.5]
+    machine._compile()
     machine.bytes_of = [p.replace("▁", " ").encode() for p in machine.pieces]
 
     def paths(text):
