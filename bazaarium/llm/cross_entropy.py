@@ -117,7 +117,7 @@ def score(
 ) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, difference) of scored, or else of docs."""
     spark = docs.sparkSession
-    found = count_trigrams(docs, marked, id_column, text_column).toPandas()  # at most 256^3 rows
+    found = count_trigrams(docs, marked, id_column, text_column).toArrow()  # at most 256^3 rows
     counts = [found[name].to_numpy(np.uint64) for name in ("target", "background")]
     model = spark.sparkContext.broadcast((uuid.uuid4().hex, found["cell"].to_numpy(np.int32), *counts))
 
