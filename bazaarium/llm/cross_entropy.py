@@ -118,8 +118,8 @@ def score(
     """(doc_id, n_tokens, target_loss, background_loss, difference) of scored, or else of docs."""
     spark = docs.sparkSession
     found = count_trigrams(docs, marked, id_column, text_column).toArrow()  # at most 256^3 rows
-    counts = [found[name].to_numpy(np.uint64) for name in ("target", "background")]
-    model = spark.sparkContext.broadcast((uuid.uuid4().hex, found["cell"].to_numpy(np.int32), *counts))
+    counts = [found[name].to_numpy().astype(np.uint64) for name in ("target", "background")]
+    model = spark.sparkContext.broadcast((uuid.uuid4().hex, found["cell"].to_numpy().astype(np.int32), *counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 1, CHUNK_BYTES):
