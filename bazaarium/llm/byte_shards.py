@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from bazaarium.llm.common import column, fresh, stored
+from bazaarium.llm.common import column, fresh, map_batches, stored
 
 
 def _running(size_at: int, width: int):
@@ -60,7 +60,7 @@ def assign_shards(rows: DataFrame, size_column: str, order: Sequence[str], shard
     dealt = rows.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(tie)
     longs = [T.StructField(name, T.LongType()) for name in (part, rank, start)]
     schema = T.StructType([*rows.schema.fields, *longs])
-    laid = stored(dealt.mapInArrow(_running(rows.columns.index(size_column), len(rows.columns)), schema), "shard-order")
+    laid = stored(map_batches(dealt, _running(rows.columns.index(size_column), len(rows.columns)), schema), "shard-order")
 
     # One row for each partition: the only place where all partitions meet.
     totals = laid.groupBy(part).agg(F.count("*").alias(base_rows), F.sum(column(size_column)).alias(base_bytes))

@@ -107,7 +107,8 @@ def count_trigrams(docs: DataFrame, marked: DataFrame, id_column: str = "doc_id"
     """(cell, background, target) over all documents; marked has the target's ids in its first column."""
     ids = marked.select(marked[marked.columns[0]].cast("long").alias("marked_id")).distinct()
     texts = id_and_text(docs, id_column, text_column)
-    rows = texts.join(ids, texts.doc_id == ids.marked_id, "left").select("text", F.col("marked_id").isNotNull().alias("marked"))
+    # Shuffled at any size: nothing bounds the marked ids.
+    rows = texts.join(ids.hint("merge"), texts.doc_id == ids.marked_id, "left").select("text", F.col("marked_id").isNotNull().alias("marked"))
     partial = rows.mapInArrow(_counting, "cell int, background long, target long")
     return partial.groupBy("cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from bazaarium.llm.common import CHUNK_BYTES, chunks, column, fresh, id_and_text, whole_text
+from bazaarium.llm.common import CHUNK_BYTES, chunks, column, fresh, id_and_text, map_batches, whole_text
 
 _SPACE = b" \t\n\x0b\x0c\r"
 #: UTF-8 bytes that do not begin a character.
@@ -171,4 +171,4 @@ def keep_good(docs: DataFrame, rules: Rules = Rules(), text_column: str = "text"
             yield batch.select(list(range(width))).filter(good)
 
     rows = docs.select(*map(column, docs.columns), whole_text(text_column).alias(text))
-    return rows.mapInArrow(run, docs.schema)
+    return map_batches(rows, run, docs.schema)

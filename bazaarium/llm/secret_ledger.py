@@ -32,6 +32,7 @@ from bazaarium.llm.common import (
     content_digest,
     fresh,
     id_and_text,
+    map_batches,
     new_path,
     whole_text,
 )
@@ -169,4 +170,4 @@ def redact(
                 columns[at] = pa.array([redacted(t, s) if s else t for t, s in pairs], columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:width])
 
-    return rows.mapInArrow(run, docs.schema)
+    return map_batches(rows, run, docs.schema)

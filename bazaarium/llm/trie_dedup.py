@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarium.llm.common import column, fresh, id_and_text, whole_text
+from bazaarium.llm.common import column, fresh, id_and_text, map_batches, whole_text
 
 #: Bytes of labels that one trie may hold.
 TRIE_BYTES = 48 << 20
@@ -184,9 +184,10 @@ def owners(
     names = rows.columns
     at = [names.index(name) for name in (key, text, identifier, count)]
     largest = keep == "largest"
-    partial = rows.mapInArrow(_inserting(*at, largest, False, budget), rows.schema)
+    partial = map_batches(rows, _inserting(*at, largest, False, budget), rows.schema)
     dealt = partial.repartition(column(key)).sortWithinPartitions(column(key))
-    return dealt.mapInArrow(_inserting(*at, largest, True, budget), rows.schema).drop(key, text, identifier)
+    owned = map_batches(dealt, _inserting(*at, largest, True, budget), rows.schema)
+    return owned.select(*map(column, docs.columns), column(count))
 
 
 def assign(
