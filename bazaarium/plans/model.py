@@ -12,12 +12,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bazaarium.contracts import Model, Sources, columns, MODEL
 from bazaarium.functions.columns import (
     cents,
     elapsed_days,
     flag,
+    magnitude_bucket,
     month_key,
     ratio,
     sure_flag,
@@ -39,28 +41,36 @@ SALES_ORDER_COLUMNS = (
     "primary_payment_type", "max_installments",
 )
 
-# After any hour as text: gives rows without a purchase time the last chunk.
+# After any time as text: gives rows without a purchase time the last chunk.
 _NO_TIME = "9999-12-31 24"
+# Leading characters of a text id that make a range of ids.
+_ID_RANGE = 3
 
 
 def translated_products(products: DataFrame, translation: DataFrame) -> DataFrame:
-    """Products with the English category; untranslated ones become `unknown`."""
+    """Products with the English category; untranslated ones become `unknown`.
+
+    The translation is grouped by its key, which changes nothing where the key is
+    unique but proves it, so a plan that needs no category drops the join.
+    """
     category = F.coalesce("product_category_name_english", F.lit(UNKNOWN_CATEGORY))
-    return products.join(translation, "product_category_name", "left").withColumn(
-        "product_category_name_english", category
-    )
+    name = "product_category_name_english"
+    unique = translation.groupBy("product_category_name").agg(F.max(name).alias(name))
+    return products.join(unique, "product_category_name", "left").withColumn(name, category)
 
 
 def enriched_items(items: DataFrame, products: DataFrame) -> DataFrame:
     """Items with their category; a missing product is `unknown` too.
 
-    A best-selling product makes a hot join key. Both inputs are shuffled straight
-    from their scans here, which is the case AQE splits by itself.
+    A best-selling product makes a hot join key, on the side that is shuffled straight
+    from its scan, which AQE splits by itself. Products are grouped by their key for the
+    same reason as the translation.
     """
-    category = F.coalesce("product_category_name_english", F.lit(UNKNOWN_CATEGORY))
-    return items.join(
-        products.select("product_id", "product_category_name_english"), "product_id", "left"
-    ).withColumn("product_category_name_english", category)
+    name = "product_category_name_english"
+    unique = products.groupBy("product_id").agg(F.max(name).alias(name))
+    return items.join(unique, "product_id", "left").withColumn(
+        name, F.coalesce(name, F.lit(UNKNOWN_CATEGORY))
+    )
 
 
 def item_totals(items: DataFrame) -> DataFrame:
@@ -132,15 +142,19 @@ def number_delivered_orders(
     """Sequence of a customer's delivered orders by purchase time, then order.
 
     `customers` holds one record per order, so it shows which persons are hot
-    without repeating the join. A hot person is numbered hour by hour.
+    without repeating the join. A hot person is numbered hour by hour; an hour that is
+    still too large moment by moment; and a moment, or all orders without a time, by
+    ranges of the order id.
     """
     purchased = F.col("order_purchase_timestamp")
-    hour = F.coalesce(F.substring(purchased.cast("string"), 1, 13), F.lit(_NO_TIME))
+    moment = F.coalesce(purchased.cast("string"), F.lit(_NO_TIME))
+    text_id = isinstance(orders_with_customer.schema["order_id"].dataType, T.StringType)
+    id_range = F.substring("order_id", 1, _ID_RANGE) if text_id else magnitude_bucket("order_id")
     numbered = number_within(
         orders_with_customer,
         keys=["customer_unique_id", "is_delivered"],
         order=[purchased.asc_nulls_last(), F.col("order_id").asc()],
-        chunk=hour,
+        chunks=[F.substring(moment, 1, 13), moment, id_range],
         hot=hot_keys(customers, "customer_unique_id", policy),
         out="_number",
     )
@@ -204,7 +218,6 @@ def fact_sales(
         key="order_id",
         spread=spread,
         hot=hot_keys(sources.order_items, "order_id", policy),
-        policy=policy,
     )
     return sold.select(*columns(MODEL["fact_sales"]))
 
@@ -282,23 +295,30 @@ def _customer_value(orders: DataFrame) -> DataFrame:
     )
 
 
+def _threshold(customers: DataFrame, q: float) -> DataFrame:
+    """One row: the threshold and the last purchase of all customers."""
+    value = exact_quantile(customers, cents("observed_gmv"), q, "value_cents", latest="last_purchase")
+    return value.select((F.col("value_cents") / 100).alias("high_value_threshold_brl"), F.col("last_purchase").alias("last"))
+
+
 def high_value_threshold(orders: DataFrame, q: float = HIGH_VALUE_QUANTILE) -> DataFrame:
     """One row: the exact quantile of customer value, as a double."""
-    value = exact_quantile(_customer_value(orders), cents("observed_gmv"), q, "value_cents")
-    return value.select((F.col("value_cents") / 100).alias("high_value_threshold_brl"))
+    return _threshold(_customer_value(orders), q).select("high_value_threshold_brl")
 
 
 def mart_customer_rfm(orders: DataFrame) -> DataFrame:
-    """Recency, frequency, value and rule-based segment per customer."""
-    last = orders.filter(F.col("order_status") == DELIVERED).agg(
-        F.max("order_purchase_timestamp").alias("last")
-    )
-    as_of = last.scalar() + F.expr("INTERVAL 1 DAY")
-    scored = _customer_value(orders).withColumns(
-        {
-            "recency_days": whole_days(F.col("last_purchase"), as_of),
-            "high_value_threshold_brl": high_value_threshold(orders).scalar(),
-        }
+    """Recency, frequency, value and rule-based segment per customer.
+
+    Everything comes from one frame of customers: the last purchase of all and the
+    threshold are one row made from it, which is then set beside every customer.
+    """
+    customers = _customer_value(orders)
+    overall = _threshold(customers, HIGH_VALUE_QUANTILE)
+    as_of = F.col("last") + F.expr("INTERVAL 1 DAY")
+    scored = (
+        customers.withColumn("_all", F.lit(1))
+        .join(F.broadcast(overall.withColumn("_all", F.lit(1))), "_all")  # one row
+        .withColumn("recency_days", whole_days(F.col("last_purchase"), as_of))
     )
     high_value = F.col("observed_gmv").cast("double") >= F.col("high_value_threshold_brl")
     segment = _segment(F.col("frequency"), F.col("recency_days"), high_value)

@@ -1,34 +1,31 @@
 """Session settings the jobs are written for.
 
 Nothing in the library depends on these for right results; they only steer the
-physical plan. Master, memory and executor counts belong to the cluster.
+physical plan. Master, memory and executor counts belong to the cluster, and so does
+the number of shuffle partitions, unless the size of the input asks for more.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Aim for shuffle partitions of about this size before AQE merges or splits them.
 TARGET_PARTITION_BYTES = 192 * 1024 * 1024
 
-
-def shuffle_partitions(shuffled_bytes: int, cores: int) -> int:
-    """Initial partition count so that one partition fits in a task's memory."""
-    by_size = -(-shuffled_bytes // TARGET_PARTITION_BYTES)
-    return max(by_size, cores)
+_PARTITIONS = "spark.sql.shuffle.partitions"
+# Sizes from here on mean that the optimizer does not know.
+_UNKNOWN_BYTES = 1 << 60
 
 
-def configure(
-    builder: SparkSession.Builder, *, shuffled_bytes: int = 0, cores: int = 8
-) -> SparkSession.Builder:
-    partitions = shuffle_partitions(shuffled_bytes, cores)
+def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         # Joins with a hot key on a scanned side are split at run time; hot keys
         # that AQE cannot see are salted in operators/skew.py.
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         # Recording the Python call site of every column costs more than planning.
@@ -37,3 +34,16 @@ def configure(
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder
+
+
+def planned_bytes(frames: Iterable[DataFrame]) -> int:
+    """What the optimizer expects the frames to hold, from file sizes; no job runs."""
+    sizes = [int(f._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) for f in frames]
+    return sum(size for size in sizes if size < _UNKNOWN_BYTES)
+
+
+def fit_partitions(spark: SparkSession, shuffled_bytes: int) -> int:
+    """Raise the session's shuffle partitions to the size of the input; never lower them."""
+    partitions = max(int(spark.conf.get(_PARTITIONS)), -(-shuffled_bytes // TARGET_PARTITION_BYTES))
+    spark.conf.set(_PARTITIONS, str(partitions))
+    return partitions

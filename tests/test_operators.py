@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 from conftest import records
-from pyspark.sql import Window
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from bazaarium.functions.columns import (
@@ -19,11 +19,15 @@ from bazaarium.functions.columns import (
     month_key,
     month_start,
 )
+from bazaarium.operators import ranking
 from bazaarium.operators.quantile import exact_quantile
 from bazaarium.operators.ranking import dense_rank_descending, number_within
-from bazaarium.operators.skew import SkewPolicy, hot_keys, salted_join
+from bazaarium.operators.skew import SkewPolicy, heavy_cells, hot_keys, salted_join
+from bazaarium.session import configure, fit_partitions, planned_bytes
 
-EAGER = SkewPolicy(min_rows=5, max_keys=10, salts=4)
+EAGER = SkewPolicy(rows_per_task=100)
+EVERY = SkewPolicy(rows_per_task=0)
+SHUFFLED = SkewPolicy(rows_per_task=3, local_keys=2)
 
 
 @pytest.fixture(scope="module")
@@ -36,52 +40,101 @@ def skewed(spark):
     return rows.repartition(5)
 
 
-def test_hot_keys_are_exact_and_bounded(skewed):
-    assert records(hot_keys(skewed, "key", EAGER)) == [(7,)]
+def test_hot_keys_are_exact_whatever_their_share(skewed):
+    found = hot_keys(skewed, "key", EAGER)
+    n = skewed.filter("key = 7").count()
+    assert records(found.rows) == [(7, n)] and found.local
     assert hot_keys(skewed, "key", SkewPolicy()) is None
-    every = hot_keys(skewed, "key", SkewPolicy(min_rows=0, max_keys=100_000))
-    assert every.count() == skewed.filter("key IS NOT NULL").select("key").distinct().count()
+    every = hot_keys(skewed, "key", EVERY)
+    assert every.rows.count() == skewed.filter("key IS NOT NULL").select("key").distinct().count()
+    listed = hot_keys(skewed, "key", SHUFFLED)
+    assert not listed.local  # too long a list for a broadcast
+    assert records(listed.rows, "key") == records(skewed.groupBy("key").count().filter("key IS NOT NULL AND count > 3"), "key")
 
 
-@pytest.mark.parametrize("policy", [EAGER, SkewPolicy(), SkewPolicy(min_rows=0, max_keys=10_000)])
+def test_a_key_just_below_a_ten_thousandth_of_all_rows_is_split(spark):
+    rows = spark.range(200_000).select(F.when(F.col("id") < 19, -1).otherwise(F.col("id")).alias("key"), "id")
+    found = hot_keys(rows, "key", SkewPolicy(rows_per_task=10))
+    assert records(found.rows) == [(-1, 19)]
+    lookup = spark.range(3).select((F.col("id") - 1).alias("key"))
+    joined = salted_join(rows, lookup, "key", ["id"], found, "left_semi")
+    assert joined.count() == 19
+
+
+def test_finding_hot_keys_shuffles_no_row_for_each_key(spark):
+    rows, policy = spark.range(0, 300_000, numPartitions=6), SkewPolicy(rows_per_task=1000)
+    cells = 4096
+    assert heavy_cells(rows, "id", cells, policy).count() == 0
+    # What each task hands on: a count for each cell it met.
+    handed = rows.select(F.spark_partition_id().alias("part"), F.pmod(F.xxhash64("id"), F.lit(cells)).alias("cell"))
+    assert handed.distinct().count() <= 6 * cells < rows.count()
+    assert hot_keys(rows, "id", policy) is None
+
+
+@pytest.mark.parametrize("policy", [EAGER, SkewPolicy(), EVERY, SHUFFLED])
 def test_numbering_equals_a_plain_window(skewed, policy):
     order = [F.col("time").asc_nulls_last(), F.col("id").asc()]
     plain = F.row_number().over(Window.partitionBy("key", "kind").orderBy(*order))
     expected = skewed.withColumn("n", F.when(F.col("key").isNotNull(), plain))
-    last = F.lit("9999-12-31").cast("timestamp_ntz")
-    numbered = number_within(
-        skewed, ["key", "kind"], order, F.date_trunc("HOUR", F.coalesce("time", last)),
-        hot_keys(skewed, "key", policy), "n",
-    )
+    moment = F.coalesce("time", F.lit("9999-12-31").cast("timestamp_ntz"))
+    chunks = [F.date_trunc("HOUR", moment), moment, magnitude_bucket("id")]
+    numbered = number_within(skewed, ["key", "kind"], order, chunks, hot_keys(skewed, "key", policy), "n")
     masked = numbered.withColumn("n", F.when(F.col("key").isNotNull(), F.col("n")))
     assert records(masked) == records(expected)
 
 
+def test_rows_of_one_moment_are_split_by_id(spark):
+    rows = spark.range(5000).select(F.lit(1).alias("key"), F.lit(None).cast("timestamp_ntz").alias("time"), "id")
+    policy = SkewPolicy(rows_per_task=50)
+    moment = F.coalesce("time", F.lit("9999-12-31").cast("timestamp_ntz"))
+    chunks = [F.date_trunc("DAY", moment), moment, magnitude_bucket("id")]
+    hot = hot_keys(rows, "key", policy)
+    numbered = number_within(rows, ["key"], [F.col("time"), F.col("id")], chunks, hot, "n")
+    assert numbered.filter("n <> id + 1").count() == 0
+    marked = ranking.mark_hot(rows, hot)
+    sizes = ranking._chunked(marked, ["key"], chunks, hot).groupBy("_chunk").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 50 and sizes.count() >= 100
+
+
 def test_unused_number_costs_nothing(skewed):
-    numbered = number_within(
-        skewed, ["key"], [F.col("id")], F.col("id"), hot_keys(skewed, "key", EAGER), "n"
-    )
+    hot = hot_keys(skewed, "key", EAGER)
+    numbered = number_within(skewed, ["key"], [F.col("id")], [F.col("id")], hot, "n")
     plan = numbered.groupBy("kind").count()._jdf.queryExecution().optimizedPlan().toString()
     # What is left is the small broadcast that marks hot keys.
     assert "Window" not in plan and plan.count("Join") == 1
 
 
 @pytest.mark.parametrize("how", ["left", "left_semi"])
-def test_salted_join_equals_a_plain_join(spark, skewed, how):
+@pytest.mark.parametrize("policy", [EAGER, EVERY, SHUFFLED])
+def test_salted_join_equals_a_plain_join(spark, skewed, how, policy):
     lookup = spark.range(30).select(F.col("id").alias("key"), (F.col("id") * 10).alias("value"))
-    salted = salted_join(skewed, lookup, "key", ["id"], hot_keys(skewed, "key", EAGER), EAGER, how)
+    salted = salted_join(skewed, lookup, "key", ["id"], hot_keys(skewed, "key", policy), how)
     plain = skewed.join(lookup, "key", how)
     assert records(salted, *sorted(plain.columns)) == records(plain, *sorted(plain.columns))
 
 
-def test_salted_join_spreads_the_hot_key(spark, skewed):
+def test_salted_join_spreads_the_hot_key_as_far_as_its_count_asks(spark, skewed):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     lookup = spark.range(30).select(F.col("id").alias("key"))
-    joined = salted_join(skewed, lookup, "key", ["id"], hot_keys(skewed, "key", EAGER), EAGER)
+    hot = hot_keys(skewed, "key", EAGER)
+    joined = salted_join(skewed, lookup, "key", ["id"], hot)
     plan = joined._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     shuffles = re.findall(r"hashpartitioning\(([^)]*)", plan)
     assert sum("_salt" in keys for keys in shuffles) == 2
+    ((rows, tasks),) = records(hot.rows.select("_rows", hot.tasks().alias("tasks")))
+    assert tasks == -(-rows // 100) > 1
+
+
+def test_a_submitted_number_of_partitions_survives(spark):
+    options = configure(SparkSession.builder.config("spark.sql.shuffle.partitions", "4000"))._options
+    assert options.get("spark.sql.shuffle.partitions") == "4000"
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "4000")
+    assert fit_partitions(spark, 10**9) == 4000
+    assert fit_partitions(spark, 10**13) == 49671 == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert 0 < planned_bytes([spark.range(1000)]) < 10**6
 
 
 def test_dense_rank_equals_a_plain_window(spark):
