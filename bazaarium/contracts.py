@@ -50,6 +50,9 @@ SOURCE_FILES: dict[str, str] = {
     "category_translation": "product_category_name_translation.csv",
 }
 
+# Sources whose further columns are not under contract; their types are read off the file.
+INFERRED_SOURCES = frozenset({"geolocation"})
+
 # Free text with line breaks occurs only here. A multi-line CSV cannot be split
 # inside a file, so every other source is read in line mode.
 MULTILINE_SOURCES = frozenset({"order_reviews"})
@@ -155,3 +158,10 @@ class Model(_Tables):
     """The seven model tables, and payments at their own grain for the payment mix."""
 
     NAMES = (*MODEL, "stg_order_payments")
+
+    def fact(self, key: object, find: Callable[[], object]) -> object:
+        """A statistic of the model's tables, found when it is first asked for."""
+        known = self.__dict__.setdefault("_facts", {})
+        if key not in known:
+            known[key] = find()
+        return known[key]

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bazaarium.contracts import Model
+from bazaarium.contracts import Model, Sources
 from bazaarium.functions.columns import (
     MICROS_PER_DAY,
     elapsed_days,
@@ -308,6 +308,12 @@ MARTS = {
 }
 
 
+def register_staged(sources: Sources) -> None:
+    """Make the nine sources available to SQL users as `stg_<name>`."""
+    for name, rows in sources.items():
+        rows.createOrReplaceTempView(f"stg_{name}")
+
+
 def register_views(model: Model) -> None:
     """Make the model tables and marts available to SQL users under these names."""
     for name, rows in model.items():

@@ -54,34 +54,41 @@ def _in_period(period: Period) -> Column:
     return by_day & F.col("purchase_month").between(f"{first:%Y-%m}", f"{last:%Y-%m}")
 
 
-def _of_customers(rows: DataFrame, customers: DataFrame, model: Model) -> DataFrame:
-    """Rows of the given distinct customers, one of whom may own most of the rows."""
-    policy, key = SkewPolicy(), "customer_unique_id"
-    hot = hot_keys(model.fact_orders, key, policy)
-    return salted_join(rows, customers.select(key), key, ["order_id"], hot, policy, how="left_semi")
+def _of_customers(
+    rows: DataFrame, customers: DataFrame, model: Model, fact: str, policy: SkewPolicy
+) -> DataFrame:
+    """Rows of a fact that belong to the given distinct customers.
+
+    One of them may own most rows of that fact. Who does is counted once for a model,
+    on the fact itself: a customer with few orders may have very many items.
+    """
+    key = "customer_unique_id"
+    hot = model.fact(("hot", fact, key, policy), lambda: hot_keys(getattr(model, fact), key, policy))
+    return salted_join(rows, customers.select(key), key, ["order_id"], hot, how="left_semi")
 
 
-def _order_filters(rows: DataFrame, model: Model, selection: Selection) -> DataFrame:
+def _order_filters(
+    rows: DataFrame, model: Model, selection: Selection, fact: str, policy: SkewPolicy
+) -> DataFrame:
     if selection.period is not None:
         rows = rows.filter(_in_period(selection.period))
     if selection.states is not None:
         rows = rows.filter(F.col("customer_state").isin(list(selection.states)))
     if selection.segments is not None:
         chosen = model.mart_customer_rfm.filter(F.col("segment").isin(list(selection.segments)))
-        rows = _of_customers(rows, chosen, model)
+        rows = _of_customers(rows, chosen, model, fact, policy)
     return rows
 
 
-def select_orders(model: Model, selection: Selection) -> DataFrame:
+def select_orders(model: Model, selection: Selection, policy: SkewPolicy = SkewPolicy()) -> DataFrame:
     """Delivered orders in the selection."""
-    return _order_filters(
-        model.fact_orders.filter(F.col("order_status") == DELIVERED), model, selection
-    )
+    delivered = model.fact_orders.filter(F.col("order_status") == DELIVERED)
+    return _order_filters(delivered, model, selection, "fact_orders", policy)
 
 
-def select_sales(model: Model, selection: Selection) -> DataFrame:
+def select_sales(model: Model, selection: Selection, policy: SkewPolicy = SkewPolicy()) -> DataFrame:
     """Items of delivered orders in the selection."""
-    rows = _order_filters(delivered_sales(model), model, selection)
+    rows = _order_filters(delivered_sales(model), model, selection, "fact_sales", policy)
     lists = {
         "product_category_name_english": selection.categories,
         "product_id": selection.products,
@@ -96,7 +103,7 @@ def select_sales(model: Model, selection: Selection) -> DataFrame:
     if selection.home_cities is not None:
         home = home.filter(F.col("customer_city").isin(list(selection.home_cities)))
     if home is not model.dim_customer:
-        rows = _of_customers(rows, home, model)
+        rows = _of_customers(rows, home, model, "fact_sales", policy)
     return rows
 
 
@@ -155,7 +162,11 @@ def growth(
     by: Sequence[str] = ("customer_state",),
 ) -> DataFrame:
     """Growth between two fixed periods. The selection's own period is ignored, the
-    rest of it is kept. Each fact is read once for both periods."""
+    rest of it is kept. Each fact is read once for both periods.
+
+    A group that has nothing in the current period has lost all it had, a rate of -1.
+    One that had nothing in the prior period has no rate.
+    """
     kept = selection.without("period")
     either = _in_period(prior) | _in_period(current)
     period = _period_name(prior, current).alias("period")
@@ -192,7 +203,7 @@ def growth(
     labels = {"gmv": "gmv_growth", "orders": "orders_growth", "customers": "customer_growth", "aov": "aov_growth"}
     rates = [
         ratio(
-            F.col(f"current_{name}").cast("double") - F.col(f"prior_{name}").cast("double"),
+            F.coalesce(F.col(f"current_{name}").cast("double"), F.lit(0.0)) - F.col(f"prior_{name}").cast("double"),
             F.col(f"prior_{name}"),
         ).alias(label)
         for name, label in labels.items()

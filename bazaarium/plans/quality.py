@@ -31,6 +31,11 @@ def _as_checks(wide: DataFrame, required_zero: bool) -> DataFrame:
     )
 
 
+def as_checks(frames: Sequence[DataFrame], required_zero: bool = True) -> DataFrame:
+    """One-row frames of named values as one check frame."""
+    return _union([_as_checks(one, required_zero) for one in frames])
+
+
 def source_row_counts(sources: Sources) -> DataFrame:
     return _union(
         [
@@ -40,34 +45,57 @@ def source_row_counts(sources: Sources) -> DataFrame:
     )
 
 
+def _item_checks(items: DataFrame, orders: DataFrame) -> DataFrame:
+    """One row with the four checks that need items by order, in one scan of the items.
+
+    Rows are counted per item key, then per order; only then orders are looked up.
+    """
+    per_item = items.groupBy("order_id", "order_item_id").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("price") < 0).alias("prices"),
+        F.count_if(F.col("freight_value") < 0).alias("freights"),
+    )
+    per_order = per_item.groupBy("order_id").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.col("n") - 1).alias("surplus"),
+        F.sum("prices").alias("prices"),
+        F.sum("freights").alias("freights"),
+    )
+    known = orders.select("order_id").distinct().withColumn("known", F.lit(True))
+    looked_up = per_order.join(known, "order_id", "left")
+    named = {
+        "duplicate_order_item_keys": F.sum("surplus"),
+        "orphan_item_orders": F.sum(F.when(F.col("known").isNull(), F.col("n"))),
+        "negative_item_prices": F.sum("prices"),
+        "negative_freight_values": F.sum("freights"),
+    }
+    return looked_up.agg(*[F.coalesce(value, F.lit(0)).alias(name) for name, value in named.items()])
+
+
 def raw_checks(sources: Sources) -> DataFrame:
     """Ten checks that must all be zero before anything is built."""
     items = sources.order_items
-    negative = items.agg(
-        F.count_if(F.col("price") < 0).alias("negative_item_prices"),
-        F.count_if(F.col("freight_value") < 0).alias("negative_freight_values"),
-    )
-    item_key = ["order_id", "order_item_id"]
     counted = [
         surplus_rows(sources.customers, ["customer_id"], "duplicate_customer_ids"),
         surplus_rows(sources.orders, ["order_id"], "duplicate_order_ids"),
         surplus_rows(sources.products, ["product_id"], "duplicate_product_ids"),
         surplus_rows(sources.sellers, ["seller_id"], "duplicate_seller_ids"),
-        surplus_rows(items, item_key, "duplicate_order_item_keys"),
-        orphan_rows(items, "order_id", sources.orders, "orphan_item_orders"),
+        _item_checks(items, sources.orders),
         orphan_rows(items, "product_id", sources.products, "orphan_item_products"),
         orphan_rows(items, "seller_id", sources.sellers, "orphan_item_sellers"),
-        negative,
     ]
     return _union([_as_checks(one, required_zero=True) for one in counted])
 
 
+def gate_report(checks: DataFrame) -> DataFrame:
+    """A check frame with a verdict for each check."""
+    return checks.withColumn("failed", F.col("required_zero") & (F.col("value") != 0))
+
+
 def gate(checks: DataFrame) -> dict[str, float]:
     """Collect a check frame; raise if a required-zero check is not zero."""
-    rows = checks.collect()
-    failures = {
-        row["check_name"]: int(row["value"]) for row in rows if row["required_zero"] and row["value"] != 0
-    }
+    rows = gate_report(checks).collect()
+    failures = {row["check_name"]: int(row["value"]) for row in rows if row["failed"]}
     if failures:
         raise ValueError(f"Raw-data validation failed: {failures}")
     return {row["check_name"]: row["value"] for row in rows}
@@ -80,6 +108,19 @@ def require_unique(rows: DataFrame, keys: Sequence[str], name: str) -> None:
         raise ValueError(f"{name} is not unique on {list(keys)}: {surplus} surplus rows")
 
 
+def join_cardinality(sources: Sources) -> DataFrame:
+    """One check row for each one-side of a join: how many of its rows repeat a key."""
+    sides = {
+        "customers": "customer_id",
+        "orders": "order_id",
+        "products": "product_id",
+        "sellers": "seller_id",
+        "category_translation": "product_category_name",
+    }
+    named = [surplus_rows(getattr(sources, name), [key], f"{name}_{key}") for name, key in sides.items()]
+    return _union([_as_checks(one, required_zero=True) for one in named])
+
+
 def require_unique_join_sides(sources: Sources) -> None:
     """The one-sides whose uniqueness no aggregate guarantees and `raw_checks` leaves out.
 
@@ -90,10 +131,13 @@ def require_unique_join_sides(sources: Sources) -> None:
 
 
 def gmv_reconciliation(orders: DataFrame, sales: DataFrame) -> DataFrame:
-    """One row: delivered GMV at order grain, at item grain, and the difference."""
+    """One row: delivered GMV at order grain, at item grain, and the difference.
+
+    A fact without rows is worth zero, so a lost one shows as a difference.
+    """
     delivered = F.col("order_status") == DELIVERED
-    item_gmv = sales.filter(delivered).agg(F.sum("price").alias("gmv")).scalar()
-    totals = orders.filter(delivered).agg(F.sum("item_gmv").alias("order_fact_gmv"))
+    item_gmv = sales.filter(delivered).agg(F.coalesce(F.sum("price"), F.lit(0)).alias("gmv")).scalar()
+    totals = orders.filter(delivered).agg(F.coalesce(F.sum("item_gmv"), F.lit(0)).alias("order_fact_gmv"))
     return totals.withColumn("item_fact_gmv", item_gmv).withColumn(
         "reconciliation_difference", F.col("order_fact_gmv") - F.col("item_fact_gmv")
     )
@@ -101,7 +145,7 @@ def gmv_reconciliation(orders: DataFrame, sales: DataFrame) -> DataFrame:
 
 def require_reconciled(reconciliation: DataFrame) -> None:
     difference = reconciliation.first()["reconciliation_difference"]
-    if difference is not None and abs(float(difference)) > GMV_TOLERANCE:
+    if difference is None or abs(float(difference)) > GMV_TOLERANCE:
         raise ValueError(f"Delivered GMV does not reconcile between facts: {difference}")
 
 
