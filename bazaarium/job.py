@@ -2,9 +2,11 @@
 
     python -m bazaarium.job --raw DELIVERY_DIR --out OUTPUT_DIR
 
-Outputs under OUTPUT_DIR: `staged/stg_*`, `model/*` (parquet), `report_tables/*.csv`,
-`results/*.csv`, `results/data_quality_report.json`, `results/headline_metrics.json`
-and `results/summary.md`. Run it with spark-submit on a cluster.
+Every run writes to a folder of its own, OUTPUT_DIR/runs/RUN: `staged/stg_*`, `model/*`
+(parquet), `report_tables/*.csv`, `results/*.csv`, `results/data_quality_report.json`,
+`results/headline_metrics.json` and `results/summary.md`. It is published when all of it
+is there; a run that fails a check leaves the published one as it was. Run it with
+spark-submit on a cluster.
 """
 
 from __future__ import annotations
@@ -18,9 +20,9 @@ from bazaarium.contracts import Model, Sources
 from bazaarium.operators.skew import SkewPolicy
 from bazaarium.plans import headline, model as plans, quality
 from bazaarium.plans.headline import HeadlineParameters
-from bazaarium.plans.marts import register_views
-from bazaarium.session import configure
-from bazaarium.sinks import reports, tables
+from bazaarium.plans.marts import register_staged, register_views
+from bazaarium.session import configure, fit_partitions, planned_bytes
+from bazaarium.sinks import publish, reports, tables
 from bazaarium.sources.raw_csv import read_sources
 
 
@@ -30,15 +32,17 @@ def build(
     policy: SkewPolicy = SkewPolicy(),
     item_spread: Sequence[str] = ("order_item_id",),
 ) -> Model:
-    """Check the sources, then build and store the model.
+    """Check the sources, then build and store the model under `out`, a run's own folder.
 
     Each fact is stored once and read back, so later tables and marts scan columns
     of a stored fact instead of repeating its joins, and a lost executor costs no
     more than the table being written.
     """
     spark = sources.orders.sparkSession
+    fit_partitions(spark, planned_bytes(rows for _, rows in sources.items()))
     model_root, results = f"{out}/model", f"{out}/results"
     sources = tables.stage_sources(sources, f"{out}/staged")
+    register_staged(sources)
 
     raw = quality.gate(quality.raw_checks(sources))
     quality.require_unique_join_sides(sources)
@@ -95,10 +99,11 @@ def main(arguments: Sequence[str] | None = None) -> None:
     options = parser.parse_args(arguments)
 
     spark = configure(SparkSession.builder.appName("bazaarium")).getOrCreate()
-    out = options.out.rstrip("/")
-    model = build(read_sources(spark, options.raw), out)
+    run = publish.new_run(options.out)
+    model = build(read_sources(spark, options.raw), run)
     parameters = HeadlineParameters(options.prior_year, options.current_year)
-    analyse(spark, model, out, parameters)
+    analyse(spark, model, run, parameters)
+    publish.publish(spark, run)
 
 
 if __name__ == "__main__":

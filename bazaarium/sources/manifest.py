@@ -44,13 +44,16 @@ def load_manifest(
 ) -> str:
     """Load the enabled manifest rows in `load_order`; append one audit row per file.
 
+    The row is written as soon as its file is done, so a run that is killed leaves the
+    audit of what it did.
+
     Reruns replace the target tables. A missing file, a failed copy or differing
     row counts are audited and make the run fail after the remaining files.
     The manifest is a short list of files, so it is planned on the driver; each
     copy is one distributed job.
     """
     run_id = run_id or str(uuid.uuid4())
-    audit, failed = [], []
+    failed = []
     for entry in manifest.filter("enabled = 1").orderBy("load_order").collect():
         source = f"{source_folder.rstrip('/')}/{entry['source_file']}"
         target = f"{target_root.rstrip('/')}/{entry['target_schema']}/{entry['target_table']}"
@@ -65,8 +68,9 @@ def load_manifest(
             error = f"{type(problem).__name__}: {problem}"
             failed.append(entry["source_file"])
         status = "failed" if error else "succeeded"
-        audit.append((run_id, entry["source_file"], started, _now(), read, written, status, error))
-    spark.createDataFrame(audit, contracts.struct(contracts.AUDIT)).write.mode("append").parquet(audit_path)
+        row = (run_id, entry["source_file"], started, _now(), read, written, status, error)
+        audit = spark.createDataFrame([row], contracts.struct(contracts.AUDIT))
+        audit.coalesce(1).write.mode("append").parquet(audit_path)
     if failed:
         raise RuntimeError(f"Manifest load {run_id} failed for {failed}; see {audit_path}")
     return run_id

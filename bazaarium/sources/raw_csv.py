@@ -26,9 +26,13 @@ def read_csv(
     name: str,
     *,
     multiline: bool = False,
+    infer: bool = False,
 ) -> DataFrame:
     """Typed scan: contract columns get their types, further columns stay text.
 
+    With `infer`, further columns get the types their values have, at the cost of
+    reading the files once for it.
+
     A missing column raises here and lists what is missing; a malformed row, or
     a file of the set with another header, raises when the rows are read.
     """
@@ -37,6 +41,9 @@ def read_csv(
     if missing:
         raise ValueError(f"Schema mismatch in {name}: missing columns {missing}")
     typed = {field.name: field for field in schema}
+    if infer:
+        found = spark.read.options(**CSV_OPTIONS, inferSchema=True).option("multiLine", multiline).csv(paths)
+        typed = {field.name: field for field in found.schema} | typed
     actual = StructType([typed.get(column, StructField(column, StringType())) for column in present])
     return (
         spark.read.options(**CSV_OPTIONS)
@@ -55,7 +62,8 @@ def read_sources(
 ) -> Sources:
     """The nine raw tables of a delivery folder.
 
-    Each pattern may match many files or a folder of part files; those are read in parallel.
+    Each pattern may match one file or a folder of part files, which are read in parallel.
+    Matches with different names are different deliveries, of which one must be chosen.
     """
     tables = {}
     for name, ddl in contracts.SOURCES.items():
@@ -63,11 +71,14 @@ def read_sources(
         paths = files.matching(spark, pattern)
         if not paths:
             raise FileNotFoundError(f"No file for source {name}: {pattern}")
+        if len(paths) > 1:
+            raise ValueError(f"More than one delivery of source {name}: {paths}")
         tables[name] = read_csv(
             spark,
             paths,
             contracts.struct(ddl),
             name,
             multiline=name in contracts.MULTILINE_SOURCES,
+            infer=name in contracts.INFERRED_SOURCES,
         )
     return Sources(**tables)
