@@ -9,9 +9,11 @@ from __future__ import annotations
 import importlib
 import os
 import sys
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import date
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -19,19 +21,23 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import oracles  # noqa: E402
-from bazaarium.contracts import Model, Sources  # noqa: E402
+from bazaarium.contracts import MODEL, Model, Sources, columns  # noqa: E402
 from bazaarium.functions.columns import month_start  # noqa: E402
+from bazaarium.operators.keys import orphan_rows, surplus_rows  # noqa: E402
+from bazaarium.operators.skew import SkewPolicy  # noqa: E402
 from bazaarium.plans import headline, marts, measures, model as plans, quality, questions  # noqa: E402
 from bazaarium.plans.headline import HeadlineParameters  # noqa: E402
 from bazaarium.plans.measures import Selection  # noqa: E402
-from bazaarium.sources.report_files import fingerprint  # noqa: E402
-from bazaarium.sources.star_schema import ITEM_SPREAD, read_star_sources  # noqa: E402
+from bazaarium.sinks.reports import export_report_tables  # noqa: E402
+from bazaarium.sources.report_files import check_report_table, fingerprint, read_report_table  # noqa: E402
+from bazaarium.sources.star_schema import ITEM_SPREAD, TABLES, read_star_sources  # noqa: E402
 
 # Parameters that suit the keys and dates of the given tables.
 HEADLINE = HeadlineParameters(
     prior_year=2000, current_year=2001, named_states=("NATION_0", "NATION_1", "NATION_2")
 )
 YEAR_2000 = (date(2000, 1, 1), date(2000, 12, 31))
+ONE_DAY, NEXT_DAY = (date(2000, 3, 1),) * 2, (date(2000, 3, 2),) * 2
 PRIOR = (date(2000, 1, 1), date(2000, 7, 31))
 CURRENT = (date(2001, 1, 1), date(2001, 7, 31))
 TWO_STATES = Selection(period=YEAR_2000, states=("NATION_1", "NATION_5"))
@@ -40,6 +46,8 @@ TWO_CATEGORIES = Selection(
 )
 TWO_SEGMENTS = Selection(segments=("Active repeat", "At-risk high-value"))
 TWO_HOMES = Selection(home_states=("NATION_1", "NATION_5"))
+ONE_CITY = Selection(home_cities=("BUILDING",))
+FEW_GOODS = Selection(products=range(1, 101), sellers=(1, 2, 3, 5, 8))
 
 
 def _plain(rows: DataFrame) -> DataFrame:
@@ -84,26 +92,79 @@ def _products(sources: Sources) -> DataFrame:
     return plans.translated_products(sources.products, sources.category_translation)
 
 
+def _sequence(model: Model) -> DataFrame:
+    return model.fact_orders.select(
+        "order_id",
+        "customer_unique_id",
+        "is_delivered",
+        "customer_delivered_order_number",
+        "first_observed_delivered_order_flag",
+    )
+
+
 def _month_keys(model: Model) -> DataFrame:
     month = month_start(F.col("purchase_month")).alias("month_start")
     return model.fact_orders.groupBy("purchase_month", month).agg(F.count("*").alias("orders"))
 
 
-def _fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    sources, model = planned(spark, folder)
-    items = sources.order_items.drop("shipping_limit_date")
-    orders = sources.orders.select(
-        "order_id", "customer_id", "order_status", "order_purchase_timestamp", "order_delivered_customer_date"
-    )
-    prints = fingerprint(model.dim_product, "dim_product")
-    for name, rows in (
-        ("dim_seller", model.dim_seller),
-        ("dim_customer", model.dim_customer),
-        ("order_items", items),
-        ("orders", orders),
-    ):
-        prints = prints.unionByName(fingerprint(rows, name))
-    return prints
+def _canonical(rows: DataFrame) -> DataFrame:
+    """Values that two engines write as the same text: fractions as whole millionths."""
+    shown = []
+    for name, kind in rows.dtypes:
+        column = F.col(name)
+        if kind in ("double", "float") or kind.startswith("decimal"):
+            column = F.round(column.cast("double") * 1_000_000).cast("bigint")
+        elif kind.startswith("timestamp"):
+            column = F.substring(column.cast("string"), 1, 19)
+        shown.append(column.alias(name))
+    return rows.select(*shown)
+
+
+def _fingerprints(model: Model) -> DataFrame:
+    """All seven model tables, every column."""
+    prints = [fingerprint(_canonical(getattr(model, t).select(*columns(MODEL[t]))), t) for t in MODEL]
+    return reduce(DataFrame.unionByName, prints)
+
+
+def _read_back(spark: SparkSession, folder: str) -> DataFrame:
+    """The seven report tables: exported as CSV, checked against the contract, read with report types."""
+    _, model = planned(spark, folder)
+    target = spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.gettempdir()}"
+    target = f"{target.rstrip('/')}/report-tables-{uuid.uuid4().hex}"
+    export_report_tables(model, target)
+    found = []
+    for table in MODEL:
+        checked = check_report_table(spark, target, table)
+        rows = read_report_table(spark, target, table)
+        names = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
+        counted = rows.agg(F.count("*").alias("row_count")).filter(F.col("row_count") == checked)
+        found.append(counted.select(F.lit(table).alias("table_name"), "row_count", F.lit(names).alias("columns")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _gate_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The gate's operators on columns of the given tables that do not pass."""
+
+    def table(name: str) -> DataFrame:
+        return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
+
+    lines, orders = table("lineitem"), table("orders")
+    finished = orders.filter("o_orderstatus = 'F'").withColumnRenamed("o_orderkey", "l_orderkey")
+    customers = table("customer").withColumnRenamed("c_custkey", "o_custkey")
+    checks = [
+        surplus_rows(lines, ["l_orderkey", "l_linenumber"], "repeated_line_numbers"),
+        surplus_rows(lines, ["l_orderkey", "l_suppkey"], "repeated_suppliers_of_an_order"),
+        orphan_rows(lines, "l_orderkey", finished, "lines_of_unfinished_orders"),
+        orphan_rows(orders, "o_custkey", customers, "orders_of_unknown_customers"),
+    ]
+    return quality.gate_report(quality.as_checks(checks))
+
+
+@lru_cache(maxsize=4)
+def split(spark: SparkSession, folder: str) -> Model:
+    """The model as it is planned where many customers and orders are too large for one task."""
+    policy = SkewPolicy(rows_per_task=4)
+    return plans.build_model(read_star_sources(spark, folder, policy), policy, ITEM_SPREAD)
 
 
 def _of_llm(name: str) -> dict:
@@ -126,6 +187,7 @@ def entry(spark: SparkSession) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from_sources = {
         "src_row_counts": quality.source_row_counts,
+        "join_cardinality": quality.join_cardinality,
         "dq_raw_checks": quality.raw_checks,
         "item_enriched": lambda s: plans.enriched_items(s.order_items, _products(s)),
         "item_order": lambda s: plans.item_order(s.order_items, _products(s)),
@@ -140,13 +202,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dq_model_checks": lambda m: quality.model_checks(m.fact_orders, m.fact_sales),
         "typed_month_key": _month_keys,
         "fact_orders": lambda m: m.fact_orders,
-        "delivered_order_sequence": lambda m: m.fact_orders.select(
-            "order_id",
-            "customer_unique_id",
-            "is_delivered",
-            "customer_delivered_order_number",
-            "first_observed_delivered_order_flag",
-        ),
+        "delivered_order_sequence": _sequence,
         "fact_sales": lambda m: m.fact_sales,
         "dim_customer": lambda m: m.dim_customer,
         "dim_product": lambda m: m.dim_product,
@@ -172,6 +228,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             m, Selection(period=YEAR_2000), by=["purchase_month"]
         ),
         "sel_growth_by_state": lambda m: measures.growth(m, PRIOR, CURRENT),
+        "sel_growth_by_state_day": lambda m: measures.growth(m, ONE_DAY, NEXT_DAY),
         "growth_drivers": lambda m: measures.growth_drivers(m, PRIOR, CURRENT),
         "sel_state_vs_benchmark": lambda m: measures.state_vs_benchmark(m, Selection(period=YEAR_2000)),
         "sel_first_repeat_gmv": lambda m: measures.first_repeat_gmv(m, TWO_STATES),
@@ -179,13 +236,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sel_home_state_gmv": lambda m: measures.select_sales(m, TWO_HOMES)
         .groupBy("seller_id")
         .agg(F.sum("price").alias("delivered_gmv")),
+        "sel_home_city_gmv": lambda m: measures.select_sales(m, ONE_CITY)
+        .groupBy(F.col("product_category_name_english").alias("category"))
+        .agg(F.sum("price").alias("delivered_gmv")),
+        "sel_product_seller_gmv": lambda m: measures.select_sales(m, FEW_GOODS)
+        .groupBy("customer_state")
+        .agg(F.sum("price").alias("delivered_gmv")),
+        "table_fingerprints": _fingerprints,
         "observed_repeat_pct": measures.observed_repeat_pct,
         "top10_categories": measures.top_categories,
         "top7_states": measures.top_states,
     }
     registered = {name: _from_sources(plan) for name, plan in from_sources.items()}
     registered.update({name: _from_model(plan) for name, plan in from_model.items()})
-    registered["table_fingerprints"] = _fingerprints
+    registered["gate_report"] = _gate_report
+    registered["report_tables_read_back"] = _read_back
+    registered["delivered_order_sequence_split"] = lambda spark, folder: _plain(_sequence(split(spark, folder)))
+    registered["fact_sales_split"] = lambda spark, folder: _plain(split(spark, folder).fact_sales)
     return registered | _of_llm("queries")
 
 

