@@ -314,11 +314,13 @@ def mart_customer_rfm(orders: DataFrame) -> DataFrame:
     """
     customers = _customer_value(orders)
     overall = _threshold(customers, HIGH_VALUE_QUANTILE)
-    as_of = F.col("last") + F.expr("INTERVAL 1 DAY")
-    scored = (
-        customers.withColumn("_all", F.lit(1))
-        .join(F.broadcast(overall.withColumn("_all", F.lit(1))), "_all")  # one row
-        .withColumn("recency_days", whole_days(F.col("last_purchase"), as_of))
+    both = overall.select(F.struct("last", "high_value_threshold_brl")).scalar()
+    as_of = both["last"] + F.expr("INTERVAL 1 DAY")
+    scored = customers.withColumns(
+        {
+            "recency_days": whole_days(F.col("last_purchase"), as_of),
+            "high_value_threshold_brl": both["high_value_threshold_brl"],
+        }
     )
     high_value = F.col("observed_gmv").cast("double") >= F.col("high_value_threshold_brl")
     segment = _segment(F.col("frequency"), F.col("recency_days"), high_value)
