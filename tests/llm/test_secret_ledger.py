@@ -68,6 +68,7 @@ def test_edges(docs):
 
 
 def test_the_query_holds_for_every_document(spark, small_folder):
+    small_folder = small_folder.replace("sf0.001", "sf0.01")  # the smallest tables hold no secret
     found = {r["doc_id"]: r for r in queries.op4_secret_ledger(spark, small_folder).collect()}
     seen = 0
     for row in queries.documents(spark, small_folder).collect():
