@@ -4,10 +4,11 @@ A configuration is a multiset of lengths that fits into one sequence. The least
 of sequences that holds a histogram of lengths is a covering program over
 configurations: one variable for each, one constraint for each length. Multiplicative
 weights solve it. Each length has a price that falls as its demand gets covered, the
-next configuration is the one of highest price that fits (an unbounded knapsack, by
-dynamic programming over the capacity), and it enters with a step that covers a fixed
-share of the demand that it covers first. The fractional solution is rounded to whole
-sequences as far as demand allows, and what is left over is placed best-fit.
+next configurations are those of highest price that fit, within a small tolerance (an
+unbounded knapsack, by dynamic programming over the capacity), and each enters with a
+step that covers a fixed share of the demand that it covers first, until every length is
+covered. The fractional solution is rounded to whole sequences as far as demand allows,
+and only what rounding leaves over is placed best-fit.
 
 All of that works on the histogram, which has at most one entry for each length up to
 the capacity, so the driver's work does not depend on the number of documents. Counting
@@ -27,10 +28,13 @@ import os
 import string
 import zlib
 from array import array
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
+from operator import neg
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +46,10 @@ from pyspark.sql.window import Window
 
 from bazaarium.llm.common import CHUNK_BYTES, chunks, id_and_text, stored
 
-#: Knapsack prices solved at most; the rest of the demand is placed best-fit.
-ROUNDS = 150
+#: The share of a length's demand that may stay uncovered: no more than floating point needs.
+TOLERANCE = 1e-6
+#: A configuration enters at a price that is lower than the highest by this share at most.
+SLACK = 0.05
 #: The share of a length's demand that one step covers, and how fast its price falls.
 STEP, FALL = 0.25, 2.0
 #: Distinct words whose ids a worker remembers; beyond it, it starts afresh.
@@ -57,8 +63,8 @@ Configuration = tuple[tuple[int, int], ...]
 # --- histogram to plan ------------------------------------------------------------
 
 
-def knapsack(lengths: np.ndarray, prices: np.ndarray, demand: np.ndarray, capacity: int) -> Configuration:
-    """The multiset of highest price that fits; no length occurs more often than it is in demand."""
+def knapsack_table(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to the capacity, the highest price that fits and a length that reaches it, or 0."""
     worth = np.full(capacity + 1, -np.inf)
     worth[lengths] = prices
     best = np.zeros(capacity + 1)
@@ -70,26 +76,43 @@ def knapsack(lengths: np.ndarray, prices: np.ndarray, demand: np.ndarray, capaci
             best[room], chosen[room] = reached[length - 1], length
         else:
             best[room] = best[room - 1]
+    return best, chosen
+
+
+def _traced(chosen: list[int], demand: dict[int, float], descending: list[int], capacity: int, first: int = 0) -> Configuration:
+    """The table's multiset for the capacity, or for what `first` leaves of it; no length beyond its demand."""
     room, taken = capacity, Counter()
-    left = dict(zip(lengths.tolist(), demand.tolist(), strict=True))
-    descending = sorted(left, reverse=True)
+    if first:
+        taken[first], room = 1, capacity - first
     while room > 0:
-        length = int(chosen[room])
+        length = chosen[room]
         if not length:
             room -= 1
             continue
-        if left[length] < 1:  # the table knows no demand: the longest that fits and is wanted stands in
-            length = next((n for n in descending if n <= room and left[n] >= 1), 0)
+        if demand[length] - taken[length] < 1:  # the table knows no demand: the longest that fits and is wanted stands in
+            at = bisect_left(descending, -room, key=neg)
+            length = next((n for n in islice(descending, at, None) if demand[n] - taken[n] >= 1), 0)
             if not length:
                 break
         taken[length] += 1
-        left[length] -= 1
         room -= length
     return tuple(sorted(taken.items(), reverse=True))
 
 
-def fractional_cover(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> dict[Configuration, float]:
-    """Multiplicative weights: how often each configuration is used, in fractions."""
+def knapsack(lengths: np.ndarray, prices: np.ndarray, demand: np.ndarray, capacity: int) -> Configuration:
+    """The multiset of highest price that fits; no length occurs more often than it is in demand."""
+    _, chosen = knapsack_table(lengths, prices, capacity)
+    wanted = dict(zip(lengths.tolist(), demand.tolist(), strict=True))
+    return _traced(chosen.tolist(), wanted, sorted(wanted, reverse=True), capacity)
+
+
+def fractional_cover(histogram: dict[int, int], capacity: int, rounds: int | None = None) -> dict[Configuration, float]:
+    """Multiplicative weights: how often each configuration is used, in fractions.
+
+    Goes on until every length is covered up to TOLERANCE; `rounds`, if given, ends it after
+    so many knapsack tables. Each step covers a share STEP of some length's demand or all
+    that was left of it, so there are at most 1 + 1 / STEP steps for each length.
+    """
     lengths = np.array(sorted(histogram, reverse=True), np.int64)
     demand = np.array([histogram[n] for n in lengths.tolist()], np.float64)
     place = {n: i for i, n in enumerate(lengths.tolist())}
@@ -97,18 +120,32 @@ def fractional_cover(histogram: dict[int, int], capacity: int, rounds: int = ROU
     used: dict[Configuration, float] = defaultdict(float)
     # A length's own share of a sequence is its fair price; longer ones, harder to place, cost more.
     fair = lengths / capacity * (1 + 0.05 * lengths / capacity)
-    for _ in range(rounds):
-        open_ = covered < 1
+    number = 0
+    while rounds is None or number < rounds:
+        number += 1
+        open_ = covered < 1 - TOLERANCE
         if not open_.any():
             break
-        prices = fair[open_] * np.exp(-FALL * covered[open_])
-        chosen = knapsack(lengths[open_], prices, demand[open_], capacity)
-        rows = np.array([place[n] for n, _ in chosen])
-        times = np.array([k for _, k in chosen], np.float64)
-        step = float(np.min(demand[rows] / times)) * STEP
-        step = min(max(step, 1.0), float(np.min(np.ceil(demand[rows] * (1 - covered[rows]) / times))))
-        used[chosen] += step
-        covered[rows] += step * times / demand[rows]
+        prices = fair * np.exp(-FALL * covered)
+        best, chosen = knapsack_table(lengths[open_], prices[open_], capacity)
+        steps, wanted = chosen.tolist(), dict(zip(lengths[open_].tolist(), demand[open_].tolist(), strict=True))
+        descending = list(wanted)
+        # One table prices many configurations: the best one through each length, dearest first.
+        through = prices[open_] + best[capacity - lengths[open_]]
+        least = (1 - SLACK) * best[capacity]
+        for nth, at in enumerate(np.argsort(-through, kind="stable").tolist()):
+            if through[at] < least:
+                break
+            configuration = _traced(steps, wanted, descending, capacity, descending[at])
+            rows = np.array([place[n] for n, _ in configuration])
+            times = np.array([k for _, k in configuration], np.float64)
+            # Prices have fallen since the table was made; what is still dear enough enters.
+            if nth and ((covered[rows] >= 1 - TOLERANCE).any() or fair[rows] * np.exp(-FALL * covered[rows]) @ times < least):
+                continue
+            step = float(np.min(demand[rows] / times)) * STEP
+            step = min(max(step, 1.0), float(np.min(np.ceil(demand[rows] * (1 - covered[rows]) / times - TOLERANCE))))
+            used[configuration] += step
+            covered[rows] += step * times / demand[rows]
     return used
 
 
@@ -147,15 +184,9 @@ def best_fit(left: dict[int, int], capacity: int) -> Counter[Configuration]:
     return total
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> Counter[Configuration]:
-    """Whole sequences for every piece: configuration -> how many sequences use it."""
-    left = Counter({n: k for n, k in histogram.items() if k})
-    if not left:
-        return Counter()
-    if max(left) > capacity or min(left) < 1:
-        raise ValueError("lengths must lie between 1 and the capacity")
-    plan: Counter[Configuration] = Counter()
-    used = fractional_cover(dict(left), capacity, rounds)
+def rounded(used: dict[Configuration, float], histogram: dict[int, int]) -> tuple[Counter[Configuration], dict[int, int]]:
+    """Whole sequences of the fractional solution, and the pieces that rounding leaves over."""
+    left, plan = Counter(histogram), Counter()
     for upward in (False, True):  # whole parts first, then what rounding up still finds in demand
         for configuration, times in sorted(used.items(), key=lambda x: -x[1]):
             wanted = int(times) if not upward else 1
@@ -164,7 +195,18 @@ def plan_sequences(histogram: dict[int, int], capacity: int, rounds: int = ROUND
                 plan[configuration] += number
                 for n, k in configuration:
                     left[n] -= number * k
-    plan.update(best_fit({n: k for n, k in left.items() if k}, capacity))
+    return plan, {n: k for n, k in left.items() if k}
+
+
+def plan_sequences(histogram: dict[int, int], capacity: int, rounds: int | None = None) -> Counter[Configuration]:
+    """Whole sequences for every piece: configuration -> how many sequences use it."""
+    wanted = {n: k for n, k in histogram.items() if k}
+    if not wanted:
+        return Counter()
+    if max(wanted) > capacity or min(wanted) < 1:
+        raise ValueError("lengths must lie between 1 and the capacity")
+    plan, left = rounded(fractional_cover(wanted, capacity, rounds), wanted)
+    plan.update(best_fit(left, capacity))
     return plan
 
 
@@ -323,7 +365,7 @@ def pack(
     tokenizer_path: str,
     capacity: int = 4096,
     end_id: int = 1,
-    rounds: int = ROUNDS,
+    rounds: int | None = None,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:

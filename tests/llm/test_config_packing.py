@@ -67,6 +67,20 @@ def test_the_fractional_solution_covers_and_rounding_is_close_to_it():
     assert sum(config_packing.plan_sequences(histogram, 1000).values()) <= bound * 1.02
 
 
+def test_the_program_places_most_pieces_at_production_parameters():
+    rng = np.random.default_rng(7)
+    lengths = np.minimum(rng.geometric(1 / 700, 60_000), 4096)
+    histogram = dict(Counter(lengths[lengths % 3 == 0].tolist()))
+    used = config_packing.fractional_cover(histogram, 4096)
+    for length, demand in histogram.items():
+        assert sum(t * dict(c).get(length, 0) for c, t in used.items()) >= demand * (1 - 2 * config_packing.TOLERANCE)
+    plan, left = config_packing.rounded(used, histogram)
+    pieces = sum(histogram.values())
+    assert sum(left.values()) == pieces - sum(k * number for c, number in plan.items() for _, k in c) < 0.2 * pieces
+    bound = -(-sum(n * k for n, k in histogram.items()) // 4096)
+    assert sum(plan.values()) + sum(config_packing.best_fit(left, 4096).values()) <= bound + 1
+
+
 def check(found: list[tuple], table: list[tuple], capacity: int) -> None:
     whole = Counter()
     for doc_id, text in table:
