@@ -5,7 +5,10 @@ rolling hashes over those numbers, for every length of n-gram, find the n-grams
 text holds more than once; the characters of words under any repeat, first occurrences
 not counted, are the coverage at that length. Lines that repeat an earlier line are measured likewise. A document is
 rejected if a share is above its limit, and before that by the base rules: too few
-words, or too many words under repeated windows of three.
+words, or too many words under repeated windows of three. Limits depend on length: repeats
+of no more than passage_chars characters, such as a boilerplate line that stands twice,
+are held to the wide limits, and longer ones to the narrow limits for passages, which a
+passage that occurs twice can exceed in a document that the base rules let pass.
 
 Null texts count as texts without words; so do empty ones. Repeated rows and null ids
 are judged row by row. An empty table gives an empty result; other columns pass through
@@ -41,6 +44,13 @@ class Rules:
     ngram_shares: tuple[tuple[int, float], ...] = ((5, 0.30), (6, 0.29), (7, 0.28), (8, 0.27), (9, 0.26), (10, 0.25))
     #: Largest share of characters in lines that repeat an earlier one.
     line_share: float = 0.30
+    #: The same for repeats of more than passage_chars characters.
+    passage_chars: int = 100
+    ngram_passage_shares: tuple[float, ...] = (0.15, 0.14, 0.13, 0.12, 0.11, 0.10)
+    line_passage_share: float = 0.20
+
+    def above(self, chars: int, total: int, share: float, passage_share: float) -> bool:
+        return chars > share * total or (chars > self.passage_chars and chars > passage_share * total)
 
 
 @dataclass(frozen=True)
@@ -124,8 +134,9 @@ def measure_text(text: bytes, rules: Rules = Rules()) -> Measures:
             if not covered[place]:
                 break
     failed = len(words) < rules.min_words or 100 * repeat_words > rules.max_repeat_words_percent * len(words)
-    above = dup_line_chars > rules.line_share * total or any(
-        chars > share * total for chars, (_, share) in zip(covered, rules.ngram_shares, strict=True)
+    above = rules.above(dup_line_chars, total, rules.line_share, rules.line_passage_share) or any(
+        rules.above(chars, total, share, passage_share)
+        for chars, (_, share), passage_share in zip(covered, rules.ngram_shares, rules.ngram_passage_shares, strict=True)
     )
     return Measures(
         len(words), total, symbols, dup_lines, repeat_words, failed, not failed and not above, dup_line_chars, tuple(covered)

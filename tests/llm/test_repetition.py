@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -63,6 +64,36 @@ def test_repetition_is_rejected_and_one_repeated_line_is_not():
     assert not repetition.measure_text(("short line here\n" * 40 + filler).encode()).kept
 
 
+@pytest.mark.parametrize("place", range(6))
+def test_each_ngram_rule_rejects_repeats_that_pass_the_base_rules(place):
+    rules = repetition.Rules()
+    n, limit = rules.ngram_shares[place][0], rules.ngram_passage_shares[place]
+    words = 4000
+    for share, kept in ((limit + 0.005, False), (limit - 0.005, True)):
+        times = int(share * words / n)
+        chunks = [" ".join(f"c{place}{i * n + k:04}" for k in range(n)) for i in range(times)]
+        filler = iter(f"f{i:05}" for i in range(words))
+        apart = [f"{chunk} {next(filler)}" for chunk in chunks * 2]
+        rest = [next(filler) for _ in range(words - sum(len(a.split()) for a in apart))]
+        m = repetition.measure_text(" ".join(apart + rest).encode())
+        assert m.n_words == words and not m.base_failed and m.kept is kept
+        assert m.dup_ngram_chars[place] == times * n * 6 and sum(m.dup_ngram_chars[place + 1 :]) == 0
+
+
+def test_the_line_rule_rejects_lines_that_pass_all_other_rules():
+    for copies, kept in ((27, False), (20, True)):
+        lines = [line for i in range(copies) for line in (f"w{i:04} v{i:04}", "same1 line2")]
+        lines += [f"x{i:04}" for i in range(240 - 4 * copies)]
+        m = repetition.measure_text("\n".join(lines).encode())
+        assert not m.base_failed and m.dup_ngram_chars[0] == 0 and m.kept is kept
+
+
+def test_a_long_passage_that_stands_twice_is_rejected():
+    passage, filler = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("p", 60), ("f", 200)))
+    m = repetition.measure_text(f"{passage} {filler} {passage}".encode())
+    assert not m.base_failed and not m.kept
+
+
 def test_edges(docs):
     good = " ".join(f"w{i}" for i in range(80))
     table = docs((1, None), (2, ""), (None, good), (3, good), (3, good), (4, "x " * 30_000))
