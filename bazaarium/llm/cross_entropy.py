@@ -1,10 +1,23 @@
 """Language-model scores by cross-entropy difference (operator 8).
 
-Two trigram models over one closed vocabulary, the 256 byte values, are counted with the
-same smoothing: the target on documents that are marked good, the background on all
-documents. A document's score is its mean loss per token under the target minus that
-under the background; the lower, the more it resembles the target.
+`score_words` is what the query runs. Two models over one vocabulary, the distinct pairs of
+neighbouring words of the whole corpus: the background on all documents, the target on
+those that are marked good. A pair has the background chance b = (count + 1) / (tokens +
+vocabulary + 1), where the last 1 is for pairs that the corpus lacks, and the target chance
+(count + tokens * b) / (2 * tokens) with the target's own count and tokens. Smoothed by
+add-one alone, the target, which has seen fewer tokens, would find every unseen pair likelier
+than the background does, and junk would score as good. A document's score is its mean loss
+per pair under the target minus that under the
+background; the lower, the more it resembles the target. Words are runs of characters
+other than ASCII white space, in ASCII lower case; a mark stands before each text, so
+there are as many pairs as words. Pairs are told apart by 64-bit hashes.
 
+Vocabulary and counts grow with the corpus and never leave the executors. A task adds up
+the pairs of each slice of texts before they are shuffled; the counts are stored. Each document's
+distinct pairs are then joined to them by shuffle. A pair that more than HOT_DOCUMENTS
+documents hold is salted; the list of those is at most all rows by HOT_DOCUMENTS long.
+
+`score` is the small sibling over bytes: trigrams over a closed vocabulary of 256 values.
 Counts are taken over the whole corpus. Each task adds up its own, so what travels is a
 row for each trigram and task. The vocabulary bounds the model whatever the corpus: at
 most 256^3 cells can occur, and workers are sent the counts of those that do, from which
@@ -14,7 +27,8 @@ Losses are interpolated by Witten and Bell: an order trusts its own counts as fa
 context was followed by the same few tokens, and the next lower order for the rest, down
 to add-one counts of single tokens. Two zero bytes stand before each text. An empty or
 null text has no tokens and its losses and score are null. A document that is marked in
-any label row is target; no marked document makes the target uniform. Repeated rows and
+any label row is target; no marked document makes the target uniform over bytes, and over
+pairs of words the background. Repeated rows and
 null ids count row by row. An empty table gives an empty result; other columns are ignored.
 """
 
@@ -25,15 +39,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarium.llm.common import CHUNK_BYTES, chunks, id_and_text
+from bazaarium.llm.common import CHUNK_BYTES, chunks, id_and_text, stored
 
 VOCABULARY = 256
 _CELLS = VOCABULARY**3
 #: Tokens after which a task hands its counts on, so that 32 bits hold any of them.
 _FLUSH = 1 << 30
+#: Documents that hold a pair of words, from which on its rows are spread over several keys.
+HOT_DOCUMENTS = 100_000
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -142,3 +161,109 @@ def score(
 
     schema = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double"
     return id_and_text(docs if scored is None else scored, id_column, text_column).mapInArrow(run, schema)
+
+
+# --- pairs of words ---------------------------------------------------------------
+
+
+def word_pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word and the one before it, text after text, and which text it stands in."""
+    parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+    coded = parts.flatten().dictionary_encode()
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    each = hashes[coded.indices.to_numpy()] if len(coded) else hashes[:0]
+    sizes = pc.list_value_length(parts).to_numpy()
+    ends = np.cumsum(sizes)
+    before = np.concatenate((np.zeros(1, np.uint64), each[:-1])) if len(each) else each
+    before[(ends - sizes)[sizes > 0]] = 0  # the mark before each text
+    mixed = (before ^ (before >> np.uint64(31))) * _FACTOR + each
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    pairs = (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    # a text without words is split into one empty string
+    real = each != np.uint64(xxhash.xxh3_64_intdigest(""))
+    return pairs[real], of[real]
+
+
+def _held(pairs: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (pair, text), ordered by pair, and how often each occurs."""
+    order = np.lexsort((of, pairs))
+    pairs, of = pairs[order], of[order]
+    new = np.ones(len(pairs), bool)
+    new[1:] = (pairs[1:] != pairs[:-1]) | (of[1:] != of[:-1])
+    first = np.flatnonzero(new)
+    return pairs[first], of[first], np.diff(np.append(first, len(pairs)))
+
+
+def _counting_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text, marked -> pair, background, target, docs: one row for each pair of a slice."""
+    for batch in chunks(batches, 0, 4 * CHUNK_BYTES):
+        pairs, of, times = _held(*word_pairs(batch.column(0)))
+        if not len(pairs):
+            continue
+        marked = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)[of]
+        first = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+        sums = [np.add.reduceat(x, first).astype(np.int64) for x in (times, times * marked, np.ones(len(pairs), np.int64))]
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[first]), *map(pa.array, sums)], ["pair", "background", "target", "docs"])
+
+
+def _holding_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, doc_id, text -> row, doc_id, pair, n; a text without words has one row, whose n is 0."""
+    for batch in chunks(batches, 2, CHUNK_BYTES):
+        pairs, of, times = _held(*word_pairs(batch.column(2)))
+        without = np.setdiff1d(np.arange(batch.num_rows), of)
+        at = pa.array(np.concatenate((of, without)))
+        own = batch.column(0).to_numpy()[without]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0).take(at),
+                batch.column(1).take(at),
+                pa.array(np.concatenate((pairs, own))),
+                pa.array(np.concatenate((times, np.zeros(len(without), np.int64))).astype(np.int32)),
+            ],
+            ["row", "doc_id", "pair", "n"],
+        )
+
+
+def count_pairs(docs: DataFrame, marked: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(pair, background, target, docs) over all documents; marked has the target's ids in its first column."""
+    ids = marked.select(marked[marked.columns[0]].cast("long").alias("marked_id")).distinct()
+    texts = id_and_text(docs, id_column, text_column)
+    rows = texts.join(ids.hint("merge"), texts.doc_id == ids.marked_id, "left").select("text", F.col("marked_id").isNotNull().alias("marked"))
+    partial = rows.mapInArrow(_counting_pairs, "pair long, background long, target long, docs long")
+    return partial.groupBy("pair").agg(*(F.sum(n).alias(n) for n in ("background", "target", "docs")))
+
+
+def score_words(
+    docs: DataFrame,
+    marked: DataFrame,
+    scored: DataFrame | None = None,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    hot: int = HOT_DOCUMENTS,
+) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, difference) of scored, or else of docs."""
+    counts = stored(count_pairs(docs, marked, id_column, text_column), "pairs")
+    one = counts.agg(F.count("*").alias("kinds"), F.sum("target").alias("target"), F.sum("background").alias("background")).first()
+    texts = id_and_text(docs if scored is None else scored, id_column, text_column)
+    rows = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    held = rows.mapInArrow(_holding_pairs, "row long, doc_id long, pair long, n int")
+    salts = F.when(F.col("docs") > hot, (F.col("docs") / hot).cast("int") + 1).otherwise(1)
+    frequent = counts.filter(F.col("docs") > hot).select("pair", salts.alias("salts"))
+    held = held.join(F.broadcast(frequent), "pair", "left")
+    held = held.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("row"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+    names = ("target", "background")
+    known = counts.select("pair", *names, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    met = held.join(known.hint("merge"), ["pair", "salt"], "left")
+
+    total = {name: float(one[name] or 0) for name in names}
+    weight = max(total["target"], 1.0)  # of the background's chance in the target's, in tokens
+    chance = (F.coalesce("background", F.lit(0)) + 1) / F.lit(total["background"] + one["kinds"] + 1)
+    chances = {"target": (F.coalesce("target", F.lit(0)) + F.lit(weight) * chance) / F.lit(total["target"] + weight), "background": chance}
+    sums = met.groupBy("row", "doc_id").agg(
+        F.sum("n").alias("n_tokens"), *(F.sum(-F.log(c) * F.col("n")).alias(n) for n, c in chances.items())
+    )
+    target, background = (F.when(F.col("n_tokens") > 0, F.col(n) / F.col("n_tokens")) for n in names)
+    return sums.select(
+        "doc_id", "n_tokens", target.alias("target_loss"), background.alias("background_loss"), (target - background).alias("difference")
+    )

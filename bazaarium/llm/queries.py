@@ -83,7 +83,7 @@ def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents with a label of good quality. Background: all documents."""
     marked = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
-    return cross_entropy.score(documents(spark, sf_dir), marked)
+    return cross_entropy.score_words(documents(spark, sf_dir), marked)
 
 
 def op9_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,3 +80,53 @@ def test_held_out_documents_of_good_quality_score_lower(spark, small_folder):
     good, bad = ([r[1] for r in scored if r[0] == q and r[1] is not None] for q in (1, 0))
     ordered = sum(a < b for a in good for b in bad) / (len(good) * len(bad))
     assert ordered > 0.9
+
+
+def pairs_of(text: str | None) -> list[tuple[str, str]]:
+    words = "".join(c.lower() if c.isascii() else c for c in text or "").split()
+    return list(zip(["", *words], words, strict=False))
+
+
+@pytest.mark.parametrize("hot", (1, cross_entropy.HOT_DOCUMENTS))
+def test_losses_over_word_pairs_follow_the_definition(spark, docs, hot):
+    table = [(1, "The cat  sat on the cat"), (2, "the CAT é 漢"), (3, None), (None, " \n"), (4, "a b"), (4, "a b"), (5, "q r " * 3000)]
+    marked = spark.createDataFrame([(1, "x"), (1, "x"), (4, "y"), (99, "z"), (None, "n")], "id long, text string")
+    held = [(9, "the cat flew"), (9, None), (None, "a b a b")]
+    for scored in (None, held):
+        found = rows(cross_entropy.score_words(docs(*table), marked, None if scored is None else docs(*scored), hot=hot))
+        background, target = (Counter(p for i, t in table if i in ids for p in pairs_of(t)) for ids in ({1, 2, 3, None, 4, 5}, {1, 4}))
+        expected = []
+        for doc_id, text in scored or table:
+            own = pairs_of(text)
+            n_target, n_background = sum(target.values()), sum(background.values())
+            b = {p: (background[p] + 1) / (n_background + len(background) + 1) for p in own}
+            t = {p: (target[p] + n_target * b[p]) / (2 * n_target) for p in own}
+            means = [-sum(math.log(c[p]) for p in own) / len(own) if own else None for c in (t, b)]
+            expected.append((doc_id, len(own), *means, means[0] - means[1] if own else None))
+        assert len(found) == len(expected)
+        for one, other in zip(found, sorted(expected, key=repr), strict=True):
+            assert one[:2] == other[:2] and one[2:] == (None,) * 3 if other[2] is None else one == pytest.approx(other, abs=1e-9)
+    none = docs((1, "a")).limit(0)
+    assert rows(cross_entropy.score_words(none, marked)) == []
+    assert rows(cross_entropy.score_words(docs((1, "a")), marked.limit(0)), "difference") == [(0.0,)]
+
+
+def test_what_the_query_gathers_grows_with_the_corpus(spark, small_folder):
+    def kinds(folder):
+        table = queries.documents(spark, folder)
+        counts = cross_entropy.count_pairs(table, table.select("doc_id").limit(0))
+        return counts.count(), table.count()
+
+    (few, n), (many, m) = kinds(small_folder), kinds(small_folder.replace("sf0.001", "sf0.01"))
+    assert many / few > 0.6 * m / n
+
+
+def test_held_out_documents_of_good_quality_score_lower_by_words(spark, small_folder):
+    folder = small_folder.replace("sf0.001", "sf0.01")
+    table, labels = queries.documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")
+    marked = labels.filter("quality = 1").select("doc_id")
+    found = cross_entropy.score_words(table.filter("doc_id % 2 = 0"), marked, table.filter("doc_id % 2 = 1"))
+    scored = found.join(labels, "doc_id").select("quality", "difference").collect()
+    good, bad = ([r[1] for r in scored if r[0] == q and r[1] is not None] for q in (1, 0))
+    ordered = sum(a < b for a in good for b in bad) / (len(good) * len(bad))
+    assert ordered > 0.85
