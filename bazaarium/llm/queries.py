@@ -11,11 +11,14 @@ from bazaarium.llm import (
     byte_shards,
     config_packing,
     cross_entropy,
+    hard_negatives,
     piece_transducer,
     preference_format,
     repetition,
     secret_ledger,
     sketch_dedup,
+    substring_dedup,
+    token_alignment,
     token_counts,
     trie_dedup,
 )
@@ -95,6 +98,25 @@ def op10_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config_packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors: ids divisible by 100. Ids divisible by 7 have the next label."""
+    ship_package(spark)
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.remove_repeats(documents(spark, sf_dir), words=13)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.link_counts(
+        documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_token_counts,
@@ -107,6 +129,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_cross_entropy,
         op9_piece_transducer,
         op10_config_packing,
+        op11_hard_negatives,
+        op12_substring_dedup,
+        op13_token_alignment,
     )
     return {query.__name__: query for query in every}
 
@@ -172,6 +197,53 @@ LEFT JOIN completions a ON a.pair_id = sides.pair_id AND a.is_chosen
 LEFT JOIN completions b ON b.pair_id = sides.pair_id AND NOT b.is_chosen
 """
 
+OP11_SQL = """
+WITH given AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vector
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same,
+           list_inner_product(a.vector, c.vector)::BIGINT AS score
+    FROM given a, given c WHERE a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id
+),
+near AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id,
+       row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM near JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
+OP12_SQL = r"""
+WITH given AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+),
+windows AS (
+    SELECT doc_id, start, array_to_string(words[start:start + 12], ' ') AS said
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS start FROM given)
+),
+firsts AS (SELECT said, min(doc_id) AS least FROM windows GROUP BY said),
+gone AS (
+    SELECT DISTINCT doc_id, unnest(range(start, start + 13)) AS place
+    FROM windows JOIN firsts USING (said) WHERE least < doc_id
+),
+placed AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM given),
+kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS text, count(*) AS n
+    FROM placed ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id
+)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM given LEFT JOIN kept USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op5_preference_format": OP5_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op5_preference_format": OP5_SQL, "op11_hard_negatives": OP11_SQL, "op12_substring_dedup": OP12_SQL}
