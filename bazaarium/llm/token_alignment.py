@@ -31,6 +31,7 @@ import hashlib
 import json
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -47,9 +48,9 @@ from bazaarium.llm.blocks import pack, ragged, steps, text_bytes, unpack
 from bazaarium.llm.common import CHUNK_BYTES, chunks, id_and_text, stored
 
 #: Text bytes of a chunk, and of the corpus for each range of A ids; ranges are at least and at most so many.
-CHUNK_TEXT, RANGE_TEXT, LEAST_RANGES, MOST_RANGES = 2 * CHUNK_BYTES, 64 << 20, 64, 1 << 15
-#: Words whose ids a worker remembers; beyond it, it starts afresh.
-REMEMBERED, _LONGEST_REMEMBERED = 400_000, 64
+CHUNK_TEXT, RANGE_TEXT, LEAST_RANGES, MOST_RANGES = CHUNK_BYTES // 2, 64 << 20, 64, 1 << 15
+#: Words whose ids a worker remembers, in two generations, and words that are encoded at a time.
+REMEMBERED, _LONGEST_REMEMBERED, _AT_A_TIME = 150_000, 64, 4096
 #: Links of a group from which on they are added up by distinct ids, and pairs of one such step.
 LARGE_GROUP, STEP = 4096, 1 << 20
 _MARK = "▁"
@@ -78,7 +79,7 @@ class ByteLevel:
         self.spelled = [bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode() for t in tokens]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch([f" {t}" for t in texts], add_special_tokens=False)]
+        return [e.ids for e in self.library.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
 
 
 class Pieces:
@@ -105,21 +106,24 @@ class Aligner:
         self.by_word = all(side.by_word for side in self.sides)
         self.sizes = [np.array([len(s) for s in side.spelled], np.int64) for side in self.sides]
         self.spelled = [pa.array(side.spelled, pa.large_binary()) for side in self.sides]
-        decimals = [[f"{i}{sep}" for i in range(len(side.spelled)) for sep in ",|;"] for side in self.sides]
-        self.decimals = [pa.array(d, pa.large_string()) for d in decimals]
+        #: Every id of A, then of B, with each of the three characters that can follow it.
+        self.decimals = pa.array((f"{i}{c}" for s in self.spelled for i in range(len(s)) for c in ",|;"), pa.large_string())
         self.pieces = len(self.sides[1].spelled)
-        self.known: tuple[dict[str, bytes], ...] = ({}, {})
+        self.known: list[tuple[dict[str, bytes], dict[str, bytes]]] = [({}, {}), ({}, {})]
 
     def _ids(self, units: list[str], side: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all units, one after the other, and how many each has."""
-        known = self.known[side]
-        missing = [u for u in units if u not in known]
-        found = {u: np.array(ids, "<u4").tobytes() for u, ids in zip(missing, self.sides[side].encode(missing), strict=True)}
-        held = [found[u] if u in found else known[u] for u in units]
-        if len(known) + len(found) > REMEMBERED:
-            known.clear()
-        known.update((u, ids) for u, ids in found.items() if len(u) <= _LONGEST_REMEMBERED)
-        return np.frombuffer(b"".join(held), "<u4").astype(np.int64), np.array([len(h) // 4 for h in held], np.int64)
+        young, old = self.known[side]
+        found = {u: old[u] if u in old else None for u in units if u not in young}
+        missing = [u for u, ids in found.items() if ids is None]
+        for start in range(0, len(missing), _AT_A_TIME):
+            some = missing[start : start + _AT_A_TIME]
+            found.update(zip(some, (array("I", ids).tobytes() for ids in self.sides[side].encode(some)), strict=True))
+        held = [found[u] if u in found else young[u] for u in units]
+        young.update((u, ids) for u, ids in found.items() if len(u) <= _LONGEST_REMEMBERED)
+        if len(young) > REMEMBERED // 2:  # words of the generation before that did not come again are forgotten
+            self.known[side] = ({}, young)
+        return np.frombuffer(b"".join(held), np.uint32).astype(np.int64), np.array([len(h) // 4 for h in held], np.int64)
 
     def encode(self, texts: pa.StringArray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each side the ids of all texts, none of them empty, and how many each text has."""
@@ -207,12 +211,11 @@ class Alignment:
         at_a = np.arange(len(self.a)) + before_b[self.of_a]
         at_b = np.arange(len(self.b)) + (before_a + self.n_a)[self.of_b]
         last_a, last_b = (np.append(g[1:] != g[:-1], True)[: len(g)] for g in (self.of_a, self.of_b))
-        offset = len(self.by.decimals[0])
+        offset = 3 * len(self.by.spelled[0])
         shown = np.empty(len(self.a) + len(self.b), np.int64)
         shown[at_a] = 3 * self.a + last_a
         shown[at_b] = offset + 3 * self.b + 2 * last_b
-        table = pa.concat_arrays(self.by.decimals)
-        written = table.take(pa.array(shown))
+        written = self.by.decimals.take(pa.array(shown))
         offsets = np.frombuffer(written.buffers()[1], np.int64)[: len(shown) + 1]
         return memoryview(written.buffers()[2] or b""), offsets[np.cumsum(self.a_sizes + self.b_sizes)].tolist()
 
