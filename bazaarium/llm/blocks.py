@@ -52,6 +52,12 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+def range_bounds(key: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each range begins in sorted 64-bit keys, whose upper half says which range is theirs."""
+    of = ((key >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    return np.searchsorted(of, np.arange(ranges + 1, dtype=np.uint64))
+
+
 def text_bytes(texts: DataFrame) -> int:
     """All UTF-8 bytes of the column text."""
     return texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0

@@ -12,10 +12,14 @@ background; the lower, the more it resembles the target. Words are runs of chara
 other than ASCII white space, in ASCII lower case; a mark stands before each text, so
 there are as many pairs as words. Pairs are told apart by 64-bit hashes.
 
-Vocabulary and counts grow with the corpus and never leave the executors. A task adds up
-the pairs of each slice of texts before they are shuffled; the counts are stored. Each document's
-distinct pairs are then joined to them by shuffle. A pair that more than HOT_DOCUMENTS
-documents hold is salted; the list of those is at most all rows by HOT_DOCUMENTS long.
+Vocabulary and counts grow with the corpus and never leave the executors. Documents are
+dealt into chunks. A chunk adds up its pairs and sends each range of pairs one block, sorted; a
+range adds up all chunks and answers each block row for row with the counts of the corpus,
+from which the chunk scores its documents. The text is shuffled once and both of a chunk's
+steps read that shuffle. A pair that every document holds is one row for each chunk, so no
+pair is hot. Chunks go by id, so that marks reach them without moving text; an id with more
+than HOT_ROWS rows, and null ids, go by text, and such an id's mark goes to every chunk. A text of any length
+is scored whole.
 
 `score` is the small sibling over bytes: trigrams over a closed vocabulary of 256 values.
 Counts are taken over the whole corpus. Each task adds up its own, so what travels is a
@@ -44,14 +48,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarium.llm.common import CHUNK_BYTES, chunks, id_and_text, stored
+from bazaarium.llm.blocks import pack, range_bounds, steps, text_bytes, unpack
+from bazaarium.llm.common import CHUNK_BYTES, chunks, id_and_text
 
 VOCABULARY = 256
 _CELLS = VOCABULARY**3
 #: Tokens after which a task hands its counts on, so that 32 bits hold any of them.
 _FLUSH = 1 << 30
-#: Documents that hold a pair of words, from which on its rows are spread over several keys.
-HOT_DOCUMENTS = 100_000
+#: Rows of one id beyond which they are spread over chunks; such ids that are broadcast, beyond which they are joined by shuffle.
+HOT_ROWS, MOST_BROADCAST = 1_000, 10_000
+#: Text bytes of a chunk of documents, and of the corpus for each range of pairs.
+CHUNK_TEXT, RANGE_TEXT = 4 << 20, 8 << 20
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -207,24 +214,6 @@ def _counting_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(pairs[first]), *map(pa.array, sums)], ["pair", "background", "target", "docs"])
 
 
-def _holding_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, doc_id, text -> row, doc_id, pair, n; a text without words has one row, whose n is 0."""
-    for batch in chunks(batches, 2, CHUNK_BYTES):
-        pairs, of, times = _held(*word_pairs(batch.column(2)))
-        without = np.setdiff1d(np.arange(batch.num_rows), of)
-        at = pa.array(np.concatenate((of, without)))
-        own = batch.column(0).to_numpy()[without]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0).take(at),
-                batch.column(1).take(at),
-                pa.array(np.concatenate((pairs, own))),
-                pa.array(np.concatenate((times, np.zeros(len(without), np.int64))).astype(np.int32)),
-            ],
-            ["row", "doc_id", "pair", "n"],
-        )
-
-
 def count_pairs(docs: DataFrame, marked: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(pair, background, target, docs) over all documents; marked has the target's ids in its first column."""
     ids = marked.select(marked[marked.columns[0]].cast("long").alias("marked_id")).distinct()
@@ -234,36 +223,117 @@ def count_pairs(docs: DataFrame, marked: DataFrame, id_column: str = "doc_id", t
     return partial.groupBy("pair").agg(*(F.sum(n).alias(n) for n in ("background", "target", "docs")))
 
 
+def _slice(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's distinct pairs, sorted; which of them each token is; the text of each token; which texts are fitted to."""
+    pairs, of = word_pairs(texts.column("text").combine_chunks())
+    distinct, at = np.unique(pairs.view(np.uint64), return_inverse=True)
+    return distinct, at, of, texts.column("fits").to_numpy().astype(bool)
+
+
+def _sending_pairs(ranges: int):
+    def run(key: tuple[pa.Scalar, ...], texts: pa.Table, marks: pa.Table) -> pa.Table:
+        """The chunk's pairs for each range, with its tokens of the background and of the target."""
+        packed, held = [], np.zeros(0, np.int64)
+        if texts.num_rows:
+            distinct, at, of, fits = _slice(texts)
+            marked = fits & pc.is_in(texts.column("doc_id"), value_set=marks.column("doc_id").combine_chunks()).to_numpy()
+            counts = [np.bincount(at[which[of]], minlength=len(distinct)) for which in (fits, marked)]
+            bounds = range_bounds(distinct, ranges)
+            held = np.flatnonzero(np.diff(bounds))
+            parts = (slice(bounds[r], bounds[r + 1]) for r in held.tolist())
+            packed = [pack(steps(distinct[p]), counts[0][p], counts[1][p]) for p in parts]
+        chunk = (texts if texts.num_rows else marks).column("chunk")[0].as_py()
+        return pa.table({"range": held, "chunk": pa.array([chunk] * len(held), pa.int64()), "block": pa.array(packed, pa.binary())})
+
+    return run
+
+
+def _added(blocks: pa.Table) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Which pair each entry of each block is, the distinct pairs' first and the two sums of each."""
+    read = [unpack(block.as_buffer()) for block in blocks.column("block")]
+    distinct, at = np.unique(np.concatenate([np.cumsum(r[0]) for r in read]), return_inverse=True)
+    sums = [np.zeros(len(distinct), np.int64) for _ in range(2)]
+    for number, total in enumerate(sums, 1):
+        np.add.at(total, at, np.concatenate([r[number] for r in read]).astype(np.int64))
+    return np.split(at, np.cumsum([len(r[0]) for r in read])[:-1]), distinct, sums
+
+
+def _adding_pairs(key: tuple[pa.Scalar, ...], blocks: pa.Table) -> pa.Table:
+    entries, _, sums = _added(blocks)
+    answers = [pack(*(total[at] for total in sums)) for at in entries]
+    return blocks.select(["chunk", "range"]).append_column("answer", pa.array(answers, pa.binary()))
+
+
+def _totals(key: tuple[pa.Scalar, ...], blocks: pa.Table) -> pa.Table:
+    _, _, (background, target) = _added(blocks)
+    return pa.table({"kinds": [int((background > 0).sum())], "background": [int(background.sum())], "target": [int(target.sum())]})
+
+
+def _scoring_pairs(key: tuple[pa.Scalar, ...], texts: pa.Table, answers: pa.Table) -> pa.Table:
+    wanted = texts.column("asked").to_numpy().astype(bool)
+    distinct, at, of, _ = _slice(texts)
+    means, n = [np.zeros(len(wanted))] * 2, np.bincount(of, minlength=len(wanted))
+    if len(distinct):
+        order = np.argsort(answers.column("range").to_numpy()).tolist()
+        read = [unpack(answers.column("answer")[i].as_buffer()) for i in order]
+        background, target = (np.concatenate([r[i] for r in read]).astype(np.float64) for i in range(2))
+        total = answers.column("totals")[0].as_py()
+        weight = max(total["target"] or 0, 1)  # of the background's chance in the target's, in tokens
+        chance = (background + 1) / ((total["background"] or 0) + (total["kinds"] or 0) + 1)
+        likely = (target + weight * chance) / ((total["target"] or 0) + weight)
+        means = [np.bincount(of, -np.log(c)[at], len(wanted)) / np.maximum(n, 1) for c in (likely, chance)]
+    found = pa.table(
+        {"doc_id": texts.column("doc_id"), "n_tokens": pa.array(n, pa.int64())}
+        | {
+            name: pa.array(values, pa.float64(), mask=n == 0)
+            for name, values in (("target_loss", means[0]), ("background_loss", means[1]), ("difference", means[0] - means[1]))
+        }
+    )
+    return found.filter(pa.array(wanted))
+
+
+def _dealt(rows: DataFrame, ids: DataFrame, chunks: int, hot: int):
+    """Rows and marked ids by chunk. An id with more than `hot` rows is spread by text, and its mark goes to every chunk."""
+    many = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).filter(F.col("rows") > hot)
+    number = many.count()
+    home = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("long")
+    anywhere = F.pmod(F.xxhash64("text", F.spark_partition_id()), F.lit(chunks)).cast("long")
+    spread, marks = F.col("doc_id").isNull(), ids.select("doc_id", home.alias("chunk"))
+    if number:
+        listed = many.select("doc_id", F.lit(True).alias("spread")).hint("broadcast" if number <= MOST_BROADCAST else "merge")
+        rows = rows.join(listed, "doc_id", "left")
+        spread = spread | F.coalesce("spread", F.lit(False))
+        everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))
+        marks = marks.join(listed, "doc_id", "left_anti").union(ids.join(listed, "doc_id", "left_semi").select("doc_id", everywhere))
+    dealt = rows.select(F.when(spread, anywhere).otherwise(home).alias("chunk"), "doc_id", "text", "fits", "asked")
+    return dealt.groupBy("chunk"), marks.groupBy("chunk")
+
+
 def score_words(
     docs: DataFrame,
     marked: DataFrame,
     scored: DataFrame | None = None,
     id_column: str = "doc_id",
     text_column: str = "text",
-    hot: int = HOT_DOCUMENTS,
+    hot: int = HOT_ROWS,
+    chunk_text: int = CHUNK_TEXT,
+    range_text: int = RANGE_TEXT,
 ) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, difference) of scored, or else of docs."""
-    counts = stored(count_pairs(docs, marked, id_column, text_column), "pairs")
-    one = counts.agg(F.count("*").alias("kinds"), F.sum("target").alias("target"), F.sum("background").alias("background")).first()
-    texts = id_and_text(docs if scored is None else scored, id_column, text_column)
-    rows = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    held = rows.mapInArrow(_holding_pairs, "row long, doc_id long, pair long, n int")
-    salts = F.when(F.col("docs") > hot, (F.col("docs") / hot).cast("int") + 1).otherwise(1)
-    frequent = counts.filter(F.col("docs") > hot).select("pair", salts.alias("salts"))
-    held = held.join(F.broadcast(frequent), "pair", "left")
-    held = held.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("row"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
-    names = ("target", "background")
-    known = counts.select("pair", *names, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    met = held.join(known.hint("merge"), ["pair", "salt"], "left")
-
-    total = {name: float(one[name] or 0) for name in names}
-    weight = max(total["target"], 1.0)  # of the background's chance in the target's, in tokens
-    chance = (F.coalesce("background", F.lit(0)) + 1) / F.lit(total["background"] + one["kinds"] + 1)
-    chances = {"target": (F.coalesce("target", F.lit(0)) + F.lit(weight) * chance) / F.lit(total["target"] + weight), "background": chance}
-    sums = met.groupBy("row", "doc_id").agg(
-        F.sum("n").alias("n_tokens"), *(F.sum(-F.log(c) * F.col("n")).alias(n) for n, c in chances.items())
-    )
-    target, background = (F.when(F.col("n_tokens") > 0, F.col(n) / F.col("n_tokens")) for n in names)
-    return sums.select(
-        "doc_id", "n_tokens", target.alias("target_loss"), background.alias("background_loss"), (target - background).alias("difference")
+
+    def given(table: DataFrame, fits: bool, asked: bool) -> DataFrame:
+        return id_and_text(table, id_column, text_column).select("*", F.lit(fits).alias("fits"), F.lit(asked).alias("asked"))
+
+    rows = given(docs, True, True) if scored is None else given(docs, True, False).union(given(scored, False, True))
+    ids = marked.select(marked[marked.columns[0]].cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
+    total = text_bytes(rows)
+    ranges = total // range_text + 1
+    texts, marks = _dealt(rows, ids, total // chunk_text + 1, hot)
+    sent = texts.cogroup(marks).applyInArrow(_sending_pairs(ranges), "range long, chunk long, block binary").groupBy("range")
+    sums = [F.sum(n).alias(n) for n in ("kinds", "background", "target")]
+    totals = sent.applyInArrow(_totals, "kinds long, background long, target long").agg(*sums)
+    answers = sent.applyInArrow(_adding_pairs, "chunk long, range long, answer binary").withColumn(
+        "totals", totals.select(F.struct("kinds", "background", "target")).scalar()
     )
+    schema = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double"
+    return texts.cogroup(answers.groupBy("chunk")).applyInArrow(_scoring_pairs, schema)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarium.llm.blocks import pack, steps, text_bytes, unpack
+from bazaarium.llm.blocks import pack, range_bounds, steps, text_bytes, unpack
 from bazaarium.llm.common import id_and_text
 
 #: Text bytes of a chunk of documents, and of the corpus for each range of hashes.
@@ -112,12 +112,6 @@ def _grouped(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order, np.concatenate(([True], ~same | differ))
 
 
-def _range_bounds(key: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each range begins in sorted keys."""
-    of = ((key >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-    return np.searchsorted(of, np.arange(ranges + 1, dtype=np.uint64))
-
-
 def _read(chunk: pa.Table, words: int) -> tuple[pa.Array, Windows]:
     ids = chunk.column("doc_id").combine_chunks()
     return ids, find_windows(ids.fill_null(_LAST_ID).to_numpy(), chunk.column("text").combine_chunks(), words)
@@ -126,7 +120,7 @@ def _read(chunk: pa.Table, words: int) -> tuple[pa.Array, Windows]:
 def _sending(words: int, ranges: int):
     def run(key: tuple[pa.Scalar, ...], chunk: pa.Table) -> pa.Table:
         _, found = _read(chunk, words)
-        bounds = _range_bounds(found.key, ranges)
+        bounds = range_bounds(found.key, ranges)
         held = np.flatnonzero(np.diff(bounds))
         packed = []
         for number in held.tolist():
@@ -160,7 +154,7 @@ def _removing(words: int, ranges: int):
     def run(key: tuple[pa.Scalar, ...], chunk: pa.Table, answers: pa.Table) -> pa.Table:
         ids, found = _read(chunk, words)
         elsewhere = np.zeros(len(found.key), bool)
-        bounds = _range_bounds(found.key, ranges)
+        bounds = range_bounds(found.key, ranges)
         for number, bits in zip(answers.column("range").to_pylist(), answers.column("bits"), strict=True):
             part = slice(bounds[number], bounds[number + 1])
             packed = unpack(bits.as_buffer())[0].astype(np.uint8)

@@ -87,30 +87,57 @@ def pairs_of(text: str | None) -> list[tuple[str, str]]:
     return list(zip(["", *words], words, strict=False))
 
 
-@pytest.mark.parametrize("hot", (1, cross_entropy.HOT_DOCUMENTS))
-def test_losses_over_word_pairs_follow_the_definition(spark, docs, hot):
+def scores_by_pairs(table, marked, scored):
+    """Sorted (doc_id, n_tokens, target_loss, background_loss, difference), straight from the definition."""
+    background, target = (Counter(p for i, t in table if i in ids for p in pairs_of(t)) for ids in ({i for i, _ in table}, set(marked) - {None}))
+    n_target, n_background = sum(target.values()), sum(background.values())
+    weight = max(n_target, 1)
+    expected = []
+    for doc_id, text in scored:
+        own = pairs_of(text)
+        b = {p: (background[p] + 1) / (n_background + len(background) + 1) for p in own}
+        t = {p: (target[p] + weight * b[p]) / (n_target + weight) for p in own}
+        means = [-sum(math.log(c[p]) for p in own) / len(own) if own else None for c in (t, b)]
+        expected.append((doc_id, len(own), *means, means[0] - means[1] if own else None))
+    return sorted(expected, key=repr)
+
+
+def assert_close(found, expected):
+    assert len(found) == len(expected)
+    for one, other in zip(found, expected, strict=True):
+        assert one[:2] == other[:2] and one[2:] == (None,) * 3 if other[2] is None else one == pytest.approx(other, abs=1e-9)
+
+
+@pytest.mark.parametrize(("hot", "most", "size"), ((1, 0, 20), (1, 100, 20), (cross_entropy.HOT_ROWS, 100, 1 << 22)))
+def test_losses_over_word_pairs_follow_the_definition(spark, docs, monkeypatch, hot, most, size):
+    monkeypatch.setattr(cross_entropy, "MOST_BROADCAST", most)
     table = [(1, "The cat  sat on the cat"), (2, "the CAT é 漢"), (3, None), (None, " \n"), (4, "a b"), (4, "a b"), (5, "q r " * 3000)]
     marked = spark.createDataFrame([(1, "x"), (1, "x"), (4, "y"), (99, "z"), (None, "n")], "id long, text string")
     held = [(9, "the cat flew"), (9, None), (None, "a b a b")]
     for scored in (None, held):
-        found = rows(cross_entropy.score_words(docs(*table), marked, None if scored is None else docs(*scored), hot=hot))
-        background, target = (Counter(p for i, t in table if i in ids for p in pairs_of(t)) for ids in ({1, 2, 3, None, 4, 5}, {1, 4}))
-        expected = []
-        for doc_id, text in scored or table:
-            own = pairs_of(text)
-            n_target, n_background = sum(target.values()), sum(background.values())
-            b = {p: (background[p] + 1) / (n_background + len(background) + 1) for p in own}
-            t = {p: (target[p] + n_target * b[p]) / (2 * n_target) for p in own}
-            means = [-sum(math.log(c[p]) for p in own) / len(own) if own else None for c in (t, b)]
-            expected.append((doc_id, len(own), *means, means[0] - means[1] if own else None))
-        assert len(found) == len(expected)
-        for one, other in zip(found, sorted(expected, key=repr), strict=True):
-            assert one[:2] == other[:2] and one[2:] == (None,) * 3 if other[2] is None else one == pytest.approx(other, abs=1e-9)
+        other = None if scored is None else docs(*scored)
+        found = rows(cross_entropy.score_words(docs(*table), marked, other, hot=hot, chunk_text=size, range_text=2 * size))
+        assert_close(found, scores_by_pairs(table, [1, 4], scored or table))
     none = docs((1, "a")).limit(0)
     assert rows(cross_entropy.score_words(none, marked)) == []
     assert rows(cross_entropy.score_words(docs((1, "a")), marked.limit(0)), "difference") == [(0.0,)]
 
 
+def test_query(spark, small_folder):
+    table = [tuple(r) for r in queries.documents(spark, small_folder).select("doc_id", "text").collect()]
+    good = [r.doc_id for r in spark.read.parquet(f"{small_folder}/labels.parquet").filter("quality = 1").collect()]
+    columns = ("doc_id", "n_tokens", "target_loss", "background_loss", "difference")
+    assert_close(rows(queries.op8_cross_entropy(spark, small_folder), *columns), scores_by_pairs(table, good, table))
+
+
+def test_texts_and_blocks_are_shuffled_once(spark, docs):
+    found = cross_entropy.score_words(docs((1, "a b"), (2, "a b"), clashing=False), spark.createDataFrame([(1,)], "id long"))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    for key, most in (("chunk", 3), ("range", 1)):
+        assert plan.count(f"Exchange hashpartitioning({key}") - plan.count(f"ReusedExchange [{key}") <= most, plan
+
+
 def test_what_the_query_gathers_grows_with_the_corpus(spark, small_folder):
     def kinds(folder):
         table = queries.documents(spark, folder)
