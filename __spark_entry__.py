@@ -9,29 +9,33 @@ from __future__ import annotations
 import importlib
 import os
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable
-from datetime import date
+from datetime import date, datetime
 from functools import lru_cache, reduce
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
+from pyspark.sql.types import StructType  # noqa: E402
 
 import oracles  # noqa: E402
 from bazaarium.contracts import MODEL, Model, Sources, columns  # noqa: E402
 from bazaarium.functions.columns import month_start  # noqa: E402
 from bazaarium.operators.keys import orphan_rows, surplus_rows  # noqa: E402
 from bazaarium.operators.skew import SkewPolicy  # noqa: E402
-from bazaarium.plans import headline, marts, measures, model as plans, quality, questions  # noqa: E402
+from bazaarium.plans import headline, marts, measures, model as plans, quality, questions, refresh  # noqa: E402
 from bazaarium.plans.headline import HeadlineParameters  # noqa: E402
 from bazaarium.plans.measures import Selection  # noqa: E402
+from bazaarium.sinks import tables  # noqa: E402
 from bazaarium.sinks.reports import export_report_tables  # noqa: E402
+from bazaarium.sources import csv_records, files  # noqa: E402
+from bazaarium.sources.raw_csv import CSV_OPTIONS  # noqa: E402
 from bazaarium.sources.report_files import check_report_table, fingerprint, read_report_table  # noqa: E402
 from bazaarium.sources.star_schema import ITEM_SPREAD, TABLES, read_star_sources  # noqa: E402
 
+# Until then orders are in the first delivery of `orders_after_delivery`.
+DELIVERED_UNTIL = datetime(2000, 7, 1)
 # Parameters that suit the keys and dates of the given tables.
 HEADLINE = HeadlineParameters(
     prior_year=2000, current_year=2001, named_states=("NATION_0", "NATION_1", "NATION_2")
@@ -129,8 +133,7 @@ def _fingerprints(model: Model) -> DataFrame:
 def _read_back(spark: SparkSession, folder: str) -> DataFrame:
     """The seven report tables: exported as CSV, checked against the contract, read with report types."""
     _, model = planned(spark, folder)
-    target = spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.gettempdir()}"
-    target = f"{target.rstrip('/')}/report-tables-{uuid.uuid4().hex}"
+    target = files.scratch(spark, "report-tables")
     export_report_tables(model, target)
     found = []
     for table in MODEL:
@@ -160,6 +163,40 @@ def _gate_report(spark: SparkSession, folder: str) -> DataFrame:
     return quality.gate_report(quality.as_checks(checks))
 
 
+def _csv_read_back(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations, whose texts hold quotes and line breaks, written as CSV and read by many tasks a file."""
+    told = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    path = files.scratch(spark, "conversations-csv")
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "quoteAll": True}
+    # A line break beside what the texts hold, so that every record has several lines.
+    broken = told.withColumn("text", F.concat(F.lit('"'), "role", F.lit('"\n'), "text"))
+    broken.write.options(**CSV_OPTIONS, **kept).csv(path)
+    names = ", ".join(f"{name} {kind}" for name, kind in told.dtypes)
+    read = csv_records.read(spark, path, StructType.fromDDL(names), CSV_OPTIONS, "conversations")
+    return read.select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@lru_cache(maxsize=4)
+def after_delivery(spark: SparkSession, folder: str) -> Model:
+    """The stored model of the orders as known at one time, refreshed by all that came later."""
+    sources, _ = planned(spark, folder)
+    orders, until = sources.orders, F.lit(DELIVERED_UNTIL).cast("timestamp_ntz")
+    arrived = F.col("order_delivered_customer_date")
+    open_then = F.coalesce(arrived >= until, F.lit(False))
+    late = orders.filter((F.col("order_purchase_timestamp") >= until) | open_then)
+    known = (
+        orders.filter(F.coalesce(F.col("order_purchase_timestamp") < until, F.lit(True)))
+        .withColumn("order_status", F.when(open_then, "shipped").otherwise(F.col("order_status")))
+        .withColumn("order_delivered_customer_date", F.when(~open_then, arrived))
+    )
+    root = files.scratch(spark, "model")
+    first = plans.build_model(refresh.restricted(sources, known), item_spread=ITEM_SPREAD)
+    for name in Model.NAMES:
+        tables.write_table(getattr(first, name), root, name)
+    refresh.refresh(spark, root, refresh.restricted(sources, late), files.scratch(spark, "refresh"), item_spread=ITEM_SPREAD)
+    return tables.read_model(spark, root)
+
+
 @lru_cache(maxsize=4)
 def split(spark: SparkSession, folder: str) -> Model:
     """The model as it is planned where many customers and orders are too large for one task."""
@@ -253,6 +290,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered["report_tables_read_back"] = _read_back
     registered["delivered_order_sequence_split"] = lambda spark, folder: _plain(_sequence(split(spark, folder)))
     registered["fact_sales_split"] = lambda spark, folder: _plain(split(spark, folder).fact_sales)
+    registered["conversations_csv_read_back"] = _csv_read_back
+    for table in ("fact_orders", "fact_sales", "dim_customer", "mart_customer_rfm"):
+        registered[f"{table}_after_delivery"] = lambda spark, folder, table=table: _plain(getattr(after_delivery(spark, folder), table))
     return registered | _of_llm("queries")
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType
 
 from bazaarium import contracts
 from bazaarium.contracts import Model, Sources
+from bazaarium.sources import files
 
+# Fixed value: the folder name of rows without a month.
+_NO_MONTH = "__HIVE_DEFAULT_PARTITION__"
 MONTH_PARTITIONED = frozenset({"fact_orders", "fact_sales"})
 
 
@@ -32,6 +37,22 @@ def write_table(rows: DataFrame, root: str, table: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(location).select(*rows.columns)
 
 
+def replace_months(rows: DataFrame, root: str, table: str, months: Sequence[str | None]) -> None:
+    """Replace some months of a stored fact by these rows, which are of these months only.
+
+    The files of all other months are left alone. A month that has no rows any more goes.
+    The rows must not be read from the table itself.
+    """
+    spark, location = rows.sparkSession, _location(root, table)
+    left = {row["purchase_month"] for row in rows.select("purchase_month").distinct().collect()}
+    placed = rows.hint("rebalance", "purchase_month").write.mode("overwrite")
+    if left:
+        placed.option("partitionOverwriteMode", "dynamic").partitionBy("purchase_month").parquet(location)
+    for month in set(months) - left:
+        files.remove(spark, f"{location}/purchase_month={_NO_MONTH if month is None else month}")
+    spark.catalog.refreshByPath(location)
+
+
 def stage_sources(sources: Sources, root: str) -> Sources:
     """Store every source unchanged as `stg_<name>` and go on from the stored copy,
     so that text is parsed once."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -25,6 +28,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return _fs(spark, target).exists(target)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder or file, if it is there."""
+    target = _path(spark, path)
+    _fs(spark, target).delete(target, True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name that driver and executors share, under the session's checkpoint folder.
+
+    Without one, a folder of this machine serves a local session and no other.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = f"file://{tempfile.gettempdir()}"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Write one small report file, replacing an earlier one."""
     target = _path(spark, path)

@@ -9,7 +9,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from bazaarium import contracts
 from bazaarium.contracts import Sources
-from bazaarium.sources import files
+from bazaarium.sources import csv_records, files
 
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
@@ -34,7 +34,8 @@ def read_csv(
     reading the files once for it.
 
     A missing column raises here and lists what is missing; a malformed row, or
-    a file of the set with another header, raises when the rows are read.
+    a file of the set with another header, raises when the rows are read. Multi-line
+    files are read in parallel too, see `csv_records`.
     """
     present = header(spark, paths)
     missing = [field for field in schema.names if field not in present]
@@ -45,12 +46,13 @@ def read_csv(
         found = spark.read.options(**CSV_OPTIONS, inferSchema=True).option("multiLine", multiline).csv(paths)
         typed = {field.name: field for field in found.schema} | typed
     actual = StructType([typed.get(column, StructField(column, StringType())) for column in present])
+    if multiline:
+        return csv_records.read(spark, paths, actual, CSV_OPTIONS, name)
     return (
         spark.read.options(**CSV_OPTIONS)
         .schema(actual)
         .option("mode", "FAILFAST")
         .option("enforceSchema", False)
-        .option("multiLine", multiline)
         .csv(paths)
     )
 

@@ -35,7 +35,7 @@ def model(spark, star_folder, tmp_path_factory) -> Model:
 @pytest.fixture(scope="module")
 def oracle(star_folder):
     connection = duckdb.connect()
-    for table in TABLES:
+    for table in (*TABLES, "conversations"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{star_folder}/{table}.parquet'")
     return connection
 
