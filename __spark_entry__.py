@@ -24,7 +24,7 @@ from bazaarium.contracts import MODEL, Model, Sources, columns  # noqa: E402
 from bazaarium.functions.columns import month_start  # noqa: E402
 from bazaarium.operators.keys import orphan_rows, surplus_rows  # noqa: E402
 from bazaarium.operators.skew import SkewPolicy  # noqa: E402
-from bazaarium.plans import headline, marts, measures, model as plans, quality, questions, refresh  # noqa: E402
+from bazaarium.plans import cube, headline, marts, measures, model as plans, quality, questions, refresh  # noqa: E402
 from bazaarium.plans.headline import HeadlineParameters  # noqa: E402
 from bazaarium.plans.measures import Selection  # noqa: E402
 from bazaarium.sinks import tables  # noqa: E402
@@ -176,6 +176,27 @@ def _csv_read_back(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+@lru_cache(maxsize=4)
+def cubed(spark: SparkSession, folder: str) -> tuple[cube.Cube, Model]:
+    """The stored facts and the cube made from them."""
+    _, model = planned(spark, folder)
+    root = files.scratch(spark, "cube")
+    given = {name: getattr(model, name) for name in Model.NAMES}
+    for name in ("fact_orders", "fact_sales"):
+        given[name] = tables.write_table(given[name], root, name)
+    given["mart_customer_rfm"] = tables.write_table(plans.mart_customer_rfm(given["fact_orders"]), root, "mart_customer_rfm")
+    stored = Model(**given)
+    cube.build(stored, f"{root}/cube")
+    return cube.read(spark, f"{root}/cube"), stored
+
+
+def _from_cube(ask: Callable[[cube.Cube, Model], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        return _plain(ask(*cubed(spark, folder)))
+
+    return query
+
+
 @lru_cache(maxsize=4)
 def after_delivery(spark: SparkSession, folder: str) -> Model:
     """The stored model of the orders as known at one time, refreshed by all that came later."""
@@ -293,6 +314,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered["conversations_csv_read_back"] = _csv_read_back
     for table in ("fact_orders", "fact_sales", "dim_customer", "mart_customer_rfm"):
         registered[f"{table}_after_delivery"] = lambda spark, folder, table=table: _plain(getattr(after_delivery(spark, folder), table))
+    from_cube = {
+        "sel_totals_from_cube": lambda c, m: cube.totals(c, m, TWO_STATES),
+        "sel_segment_totals_from_cube": lambda c, m: cube.totals(c, m, TWO_SEGMENTS),
+        "sel_repeat_rate_by_month_from_cube": lambda c, m: cube.repeat_rate(c, m, Selection(period=YEAR_2000), ("purchase_month",)),
+    }
+    registered.update({name: _from_cube(ask) for name, ask in from_cube.items()})
     return registered | _of_llm("queries")
 
 
