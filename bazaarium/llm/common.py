@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -47,14 +48,21 @@ def id_and_text(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where spark.checkpoint.dir is unset, as in local tests, a folder is made and
-    recorded in the session.
+    Only where spark.checkpoint.dir is unset, as in local tests, a folder of this machine
+    is made, once for an application; a cluster has to name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="bazaarium-shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if not re.match(r"local(\[|$)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="bazaarium-shared-")
+    return _LOCAL_FOLDERS[context.applicationId]
+
+
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -103,7 +111,9 @@ def complete_ledger(texts: DataFrame, path: str, version: str, values: str, work
 
     texts: (digest, text), one row for each document. Copies are dropped before the
     shuffle, so a text that many documents hold is no hot key. work maps Arrow batches
-    of (digest, text) to batches of (digest, version, values).
+    of (digest, text) to batches of (digest, version, values). What is returned is stored
+    with one row for each digest, so a join to it has two plain shuffles for sides and
+    Spark splits the documents of a hot digest.
     """
     spark = texts.sparkSession
     missing = texts.select("digest", "text").dropDuplicates(["digest"])
@@ -112,7 +122,7 @@ def complete_ledger(texts: DataFrame, path: str, version: str, values: str, work
         missing = missing.join(known, "digest", "left_anti")
     schema = f"digest binary, version string, {values}"
     missing.mapInArrow(work, schema).write.mode("append").parquet(path)
-    return read_ledger(spark, path, version, values)
+    return stored(read_ledger(spark, path, version, values), "ledger")
 
 
 def ship_package(spark: SparkSession) -> None:

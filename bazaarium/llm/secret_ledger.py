@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +39,10 @@ from bazaarium.llm.common import (
 )
 
 
+#: Bytes of findings up to which they are broadcast to all rows, so that no text is shuffled.
+BROADCAST_BYTES = 32 << 20
+
+
 @dataclass(frozen=True)
 class Rule:
     kind: str
@@ -47,6 +52,11 @@ class Rule:
     either_case: bool = False
     #: Literal text without which there is no match; spares most texts the pattern.
     needs: tuple[str, ...] = ()
+    #: What the run of `head_characters` that ends where the pattern begins must hold, and so many characters behind it.
+    #: Looking back from the few places where the pattern fits keeps long texts linear.
+    head: str = ""
+    head_characters: str = ""
+    behind_head: int = 0
 
 
 BASE = (
@@ -64,10 +74,17 @@ BASE = (
 #: Formats that issuers document themselves.
 MORE = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", needs=("PRIVATE KEY-----",)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", needs=("eyJ",)),
+    Rule(
+        "jwt",
+        r"\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
+        needs=(".eyJ",),
+        head="eyJ",
+        head_characters=string.ascii_letters + string.digits + "_-",
+        behind_head=8,
+    ),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", needs=("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", needs=("xox",)),
-    Rule("url", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/@]{8,128}@", needs=("://",)),
+    Rule("url", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{0,256}:[^\s/@]++@", needs=("://",)),
 )
 RULES = BASE + MORE
 
@@ -80,15 +97,32 @@ def _compiled(rules: tuple[Rule, ...]) -> list[tuple[Rule, re.Pattern]]:
     return [(r, re.compile(r.pattern, re.ASCII | (re.IGNORECASE if r.either_case else 0))) for r in rules]
 
 
+def _matches(text: str, rule: Rule, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Leftmost matches that do not overlap."""
+    if not rule.head:
+        for match in pattern.finditer(text):
+            if match.end(rule.group) - match.start(rule.group) >= rule.least:
+                yield match.start(), match.end()
+        return
+    allowed, free, match = frozenset(rule.head_characters), 0, pattern.search(text)
+    while match:
+        start = match.start()
+        while start > free and text[start - 1] in allowed:
+            start -= 1
+        start = text.find(rule.head, start, max(0, match.start() - rule.behind_head))
+        if start >= 0:
+            yield start, match.end()
+            free = match.end()
+        match = pattern.search(text, match.end() if start >= 0 else match.start() + 1)
+
+
 def find_spans(text: str, compiled: list[tuple[Rule, re.Pattern]]) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then by the rules' order."""
     found = []
     for place, (rule, pattern) in enumerate(compiled):
         if rule.needs and not any(part in text for part in rule.needs):
             continue
-        for match in pattern.finditer(text):
-            if match.end(rule.group) - match.start(rule.group) >= rule.least:
-                found.append((match.start(), place, match.end()))
+        found += [(start, place, end) for start, end in _matches(text, rule, pattern)]
     return [(compiled[place][0].kind, start, end) for start, place, end in sorted(found)]
 
 
@@ -152,13 +186,17 @@ def redact(
 ) -> DataFrame:
     """All rows and columns; secrets in the texts are replaced by the name of their kind.
 
-    Only blobs with findings are joined to the rows, and texts without are left alone.
+    Only blobs with findings are joined to the rows, and texts without are left alone. The
+    findings are broadcast if they are counted to be at most BROADCAST_BYTES; beyond
+    that, rows and findings are joined by shuffle, and Spark splits a hot digest.
     """
     digest, spans = fresh(docs.columns, "digest", "spans")
     keyed = docs.withColumn(digest, content_digest(whole_text(text_column)))
     texts = keyed.select(column(digest).alias("digest"), whole_text(text_column).alias("text"))
     found = _findings(texts, ledger_path, rules).filter(F.col("spans") != "")
-    rows = keyed.join(found.select(F.col("digest").alias(digest), F.col("spans").alias(spans)), digest, "left")
+    size = found.agg(F.sum(F.length("spans") + 64)).first()[0] or 0
+    found = found.select(F.col("digest").alias(digest), F.col("spans").alias(spans))
+    rows = keyed.join(found.hint("broadcast" if size <= BROADCAST_BYTES else "merge"), digest, "left")
     at, width = docs.columns.index(text_column), len(docs.columns)
     rows = rows.select(*map(column, docs.columns), column(spans))
 

@@ -1,10 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from bazaarium.llm import queries, secret_ledger
-from bazaarium.llm.common import new_path
+from bazaarium.llm.common import new_path, stored
 
 from .conftest import rows
 
@@ -38,6 +42,51 @@ def test_the_method_adds_spans_and_redaction_takes_all():
     assert secret_ledger.redacted(text, secret_ledger.joined(spans)) == "see [forge] and [pem]."
 
 
+def test_tokens_of_three_parts_are_found_in_linear_time():
+    compiled = secret_ledger._compiled(secret_ledger.RULES)
+    slow = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    rng = random.Random(2)
+    for _ in range(3000):
+        text = "".join(rng.choice([".", ".", "eyJ", "eyJabcdefgh", "x" * 9, "ab-_", " "]) for _ in range(rng.randrange(25)))
+        found = [(s, e) for k, s, e in secret_ledger.find_spans(text, compiled) if k == "jwt"]
+        assert found == [m.span() for m in slow.finditer(text)], text
+    for long in ("eyJ" * 400_000 + ".eyJ", ("eyJ" * 5 + ".") * 80_000, "a://:" * 200_000, "a://b:c" * 150_000, "x" * 1_000_000 + "://"):
+        began = time.process_time()
+        secret_ledger.find_spans(long, compiled)
+        assert time.process_time() - began < 4
+
+
+def test_credentials_in_addresses_have_any_length():
+    compiled = secret_ledger._compiled(secret_ledger.RULES)
+    for text in ("redis://:pw@host", "https://me:x@host", "ftp://u:" + "y" * 500 + "@host"):
+        assert [k for k, _, _ in secret_ledger.find_spans(text, compiled) if k == "url"] == ["url"], text
+
+
+def test_rows_of_a_hot_text_lie_in_several_partitions(spark, docs):
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    spread = spark.range(30_000).repartition(6).selectExpr("id AS doc_id", f"IF(id % 3 = 0, 'token={HEX}', CONCAT('t', id)) AS text")
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        found = secret_ledger.scan(spread).withColumn("at", F.spark_partition_id())
+        hot = stored(found, "placed").filter("spans <> ''").groupBy("at").count().collect()
+        assert sum(r["count"] for r in hot) == 10_000 and len(hot) > 1
+        secret_ledger.BROADCAST_BYTES, limit = -1, secret_ledger.BROADCAST_BYTES
+        try:
+            clean = stored(secret_ledger.redact(spread).withColumn("at", F.spark_partition_id()), "placed")
+        finally:
+            secret_ledger.BROADCAST_BYTES = limit
+        assert clean.filter("text = '[assign]'").groupBy("at").count().count() > 1
+        assert clean.filter("text = '[assign]'").count() == 10_000
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_overlapping_spans_are_replaced_once():
     text = f"secret={HEX} end"
     spans = secret_ledger.joined(secret_ledger.find_spans(text, secret_ledger._compiled(secret_ledger.RULES)))
