@@ -7,7 +7,9 @@ takes the rows whose middle lies in the k-th of n equal stretches of that line,
 shard is within one row of the target on either side.
 
 Order: the given columns, nulls first, then size; rows equal in all of them are in any
-order, fixed once the table is stored. A null text has no bytes. An empty table gives an
+order, fixed once the table is stored. A null text has no bytes; a text of
+any length is one row, and its shard may be that much larger. Other columns, whatever their
+names, are kept by `assign_shards` and ignored by `shard_documents`. An empty table gives an
 empty result; with fewer rows than shards some shards stay empty.
 """
 

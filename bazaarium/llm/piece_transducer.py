@@ -19,7 +19,7 @@ text that itself holds the mark comes back with a space, as with the library; ev
 other text comes back as it was.
 
 Null texts count as empty, which have no pieces. Repeated rows and null ids are encoded
-row by row. An empty table gives an empty result; other columns are ignored. Models that
+row by row. A text of any length is encoded whole. An empty table gives an empty result; other columns are ignored. Models that
 rewrite characters first (a compiled character map) are refused.
 """
 

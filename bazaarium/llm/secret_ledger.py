@@ -9,7 +9,8 @@ of the corpus cost a join; a changed rule set has another version and is scanned
 Spans are in code points, end exclusive. Matches of a kind are leftmost and do not
 overlap; those that are too short are dropped after matching. Null texts count as empty,
 which hold no secret. Repeated rows, null ids and ids that occur twice are answered row
-by row. An empty table gives an empty result; other columns pass through `redact` and
+by row. A text of any length is scanned whole, in time linear in its length. An empty
+table gives an empty result; other columns pass through `redact` and
 are ignored by `scan`.
 """
 

@@ -7,8 +7,8 @@ is not there, appends those counts, and joins again. Copies, earlier runs and ea
 versions of the corpus therefore cost a join and no encoding.
 
 Null texts count as empty, and empty texts have no tokens. Repeated rows, null ids and
-ids that occur twice are counted row by row. An empty table gives an empty result.
-Columns besides id and text are ignored, whatever their names.
+ids that occur twice are counted row by row. A text of any length is encoded whole. An empty
+table gives an empty result. Columns besides id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
