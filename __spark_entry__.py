@@ -24,12 +24,13 @@ from bazaarium.contracts import MODEL, Model, Sources, columns  # noqa: E402
 from bazaarium.functions.columns import month_start  # noqa: E402
 from bazaarium.operators.keys import orphan_rows, surplus_rows  # noqa: E402
 from bazaarium.operators.skew import SkewPolicy  # noqa: E402
-from bazaarium.plans import cube, headline, marts, measures, model as plans, quality, questions, refresh  # noqa: E402
+from bazaarium.plans import cube, headline, marts, measures, model as plans, order_buckets  # noqa: E402
+from bazaarium.plans import quality, questions, refresh, repeat_curve  # noqa: E402
 from bazaarium.plans.headline import HeadlineParameters  # noqa: E402
 from bazaarium.plans.measures import Selection  # noqa: E402
 from bazaarium.sinks import tables  # noqa: E402
 from bazaarium.sinks.reports import export_report_tables  # noqa: E402
-from bazaarium.sources import csv_records, files  # noqa: E402
+from bazaarium.sources import csv_records, files, fingerprint_tree  # noqa: E402
 from bazaarium.sources.raw_csv import CSV_OPTIONS  # noqa: E402
 from bazaarium.sources.report_files import check_report_table, fingerprint, read_report_table  # noqa: E402
 from bazaarium.sources.star_schema import ITEM_SPREAD, TABLES, read_star_sources  # noqa: E402
@@ -198,9 +199,13 @@ def _from_cube(ask: Callable[[cube.Cube, Model], DataFrame]) -> Callable[[SparkS
 
 
 @lru_cache(maxsize=4)
-def after_delivery(spark: SparkSession, folder: str) -> Model:
-    """The stored model of the orders as known at one time, refreshed by all that came later."""
-    sources, _ = planned(spark, folder)
+def bucketed(spark: SparkSession, folder: str) -> order_buckets.OrderBuckets:
+    """The sources stored in buckets by order."""
+    return order_buckets.store(planned(spark, folder)[0], files.scratch(spark, "order-buckets"))
+
+
+def _first_delivery(sources: Sources) -> tuple[DataFrame, DataFrame]:
+    """Orders as they were known at one time, and those of them or later ones that differ now."""
     orders, until = sources.orders, F.lit(DELIVERED_UNTIL).cast("timestamp_ntz")
     arrived = F.col("order_delivered_customer_date")
     open_then = F.coalesce(arrived >= until, F.lit(False))
@@ -210,6 +215,25 @@ def after_delivery(spark: SparkSession, folder: str) -> Model:
         .withColumn("order_status", F.when(open_then, "shipped").otherwise(F.col("order_status")))
         .withColumn("order_delivered_customer_date", F.when(~open_then, arrived))
     )
+    return known, late
+
+
+def _changed_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Which orders of the first delivery differ from what is known now, by trees of fingerprints."""
+    now = planned(spark, folder)[0].orders
+    then, _ = _first_delivery(planned(spark, folder)[0])
+    trees = []
+    for rows in (then, now):
+        trees.append(files.scratch(spark, "orders-tree"))
+        fingerprint_tree.store(rows, ["order_id"], trees[-1])
+    return _plain(fingerprint_tree.differing_keys(spark, *trees))
+
+
+@lru_cache(maxsize=4)
+def after_delivery(spark: SparkSession, folder: str) -> Model:
+    """The stored model of the orders as known at one time, refreshed by all that came later."""
+    sources, _ = planned(spark, folder)
+    known, late = _first_delivery(sources)
     root = files.scratch(spark, "model")
     first = plans.build_model(refresh.restricted(sources, known), item_spread=ITEM_SPREAD)
     for name in Model.NAMES:
@@ -304,6 +328,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "observed_repeat_pct": measures.observed_repeat_pct,
         "top10_categories": measures.top_categories,
         "top7_states": measures.top_states,
+        "repeat_curve": repeat_curve.repeat_curve,
+        "repeat_windows_from_curve": lambda m: repeat_curve.windows_of(repeat_curve.repeat_curve(m)),
     }
     registered = {name: _from_sources(plan) for name, plan in from_sources.items()}
     registered.update({name: _from_model(plan) for name, plan in from_model.items()})
@@ -314,6 +340,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered["conversations_csv_read_back"] = _csv_read_back
     for table in ("fact_orders", "fact_sales", "dim_customer", "mart_customer_rfm"):
         registered[f"{table}_after_delivery"] = lambda spark, folder, table=table: _plain(getattr(after_delivery(spark, folder), table))
+    registered["fact_orders_from_buckets"] = lambda spark, folder: _plain(order_buckets.fact_orders(bucketed(spark, folder)))
+    registered["fact_sales_from_buckets"] = lambda spark, folder: _plain(
+        order_buckets.fact_sales(bucketed(spark, folder), ITEM_SPREAD)
+    )
+    registered["orders_changed_since_delivery"] = _changed_orders
     from_cube = {
         "sel_totals_from_cube": lambda c, m: cube.totals(c, m, TWO_STATES),
         "sel_segment_totals_from_cube": lambda c, m: cube.totals(c, m, TWO_SEGMENTS),

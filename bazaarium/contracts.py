@@ -95,6 +95,17 @@ MODEL: dict[str, str] = {
         high_value_threshold_brl double""",
 }
 
+# What tells the rows of a model table apart.
+MODEL_KEYS: dict[str, tuple[str, ...]] = {
+    "fact_orders": ("order_id",),
+    "fact_sales": ("order_id", "order_item_id"),
+    "dim_customer": ("customer_unique_id",),
+    "dim_product": ("product_id",),
+    "dim_seller": ("seller_id",),
+    "dim_date": ("date",),
+    "mart_customer_rfm": ("customer_unique_id",),
+}
+
 # Month keys are text `YYYY-MM` in files and first-of-month dates in reports.
 MONTH_KEYS = frozenset({"purchase_month", "year_month"})
 

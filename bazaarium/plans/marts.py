@@ -138,11 +138,9 @@ def cohort_retention(model: Model) -> DataFrame:
     )
 
 
-def repeat_windows(model: Model, windows: Sequence[int] = REPEAT_WINDOWS) -> DataFrame:
-    """Second purchase within N days among customers with N days of follow-up.
-
-    All windows are counted in one pass over the customers.
-    """
+def waiting_times(model: Model) -> DataFrame:
+    """Per customer with a delivered order: how long they have been followed since the
+    first one, and how long the second one took, in microseconds. Either may be null."""
     orders = delivered_orders(model)
     number, purchased = F.col("customer_delivered_order_number"), F.col("order_purchase_timestamp")
     customers = (
@@ -154,10 +152,18 @@ def repeat_windows(model: Model, windows: Sequence[int] = REPEAT_WINDOWS) -> Dat
         )
     )
     end = orders.agg(F.max(purchased)).scalar()
-    counted = customers.select(
+    return customers.select(
         elapsed_micros(F.col("first"), end).alias("followed"),
         elapsed_micros(F.col("first"), F.col("second")).alias("waited"),
     )
+
+
+def repeat_windows(model: Model, windows: Sequence[int] = REPEAT_WINDOWS) -> DataFrame:
+    """Second purchase within N days among customers with N days of follow-up.
+
+    All windows are counted in one pass over the customers.
+    """
+    counted = waiting_times(model)
     counts = [F.count("*").alias("customers")]
     for days in windows:
         eligible = F.col("followed") >= days * MICROS_PER_DAY

@@ -162,20 +162,16 @@ def number_delivered_orders(
     return numbered.withColumn("customer_delivered_order_number", number).drop("_number")
 
 
-def fact_orders(sources: Sources, policy: SkewPolicy = SkewPolicy()) -> DataFrame:
-    """One row per order, whatever its status."""
-    products = translated_products(sources.products, sources.category_translation)
+def numbered_orders(sources: Sources, policy: SkewPolicy = SkewPolicy()) -> DataFrame:
+    """Orders with their customer and their place among the customer's delivered orders."""
     base = sources.orders.join(sources.customers, "customer_id", "left").withColumn(
         "is_delivered", sure_flag(F.col("order_status") == DELIVERED)
     )
-    orders = number_delivered_orders(base, sources.customers, policy)
-    for per_order in (
-        item_totals(sources.order_items),
-        item_categories(enriched_items(sources.order_items, products)),
-        payment_order(sources.order_payments),
-        review_order(sources.order_reviews),
-    ):
-        orders = orders.join(per_order, "order_id", "left")
+    return number_delivered_orders(base, sources.customers, policy)
+
+
+def derived_orders(orders: DataFrame) -> DataFrame:
+    """Dates, flags and ratios of orders that have their items, payments and reviews beside them."""
     purchased, arrived, promised = (
         F.col("order_purchase_timestamp"),
         F.col("order_delivered_customer_date"),
@@ -199,6 +195,20 @@ def fact_orders(sources: Sources, policy: SkewPolicy = SkewPolicy()) -> DataFram
     return orders.withColumns(derived).select(*columns(MODEL["fact_orders"]))
 
 
+def fact_orders(sources: Sources, policy: SkewPolicy = SkewPolicy()) -> DataFrame:
+    """One row per order, whatever its status."""
+    products = translated_products(sources.products, sources.category_translation)
+    orders = numbered_orders(sources, policy)
+    for per_order in (
+        item_totals(sources.order_items),
+        item_categories(enriched_items(sources.order_items, products)),
+        payment_order(sources.order_payments),
+        review_order(sources.order_reviews),
+    ):
+        orders = orders.join(per_order, "order_id", "left")
+    return derived_orders(orders)
+
+
 def fact_sales(
     sources: Sources,
     orders: DataFrame,

@@ -8,6 +8,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from bazaarium import contracts
 from bazaarium.functions.columns import month_start
+from bazaarium.sources import fingerprint_tree
 from bazaarium.sources.raw_csv import CSV_OPTIONS, header, read_csv
 
 _BROKEN = "_broken_row"
@@ -94,3 +95,23 @@ def require_same_folders(spark: SparkSession, first: str, second: str) -> None:
         raise ValueError(f"Relocated files differ from the original files: {names}")
 
 
+def differing_report_keys(spark: SparkSession, first: str, second: str, root: str) -> DataFrame:
+    """`(table_name, key, difference, first_rows, second_rows)` of two folders' seven tables.
+
+    Trees of fingerprints are kept under `root`, a new folder; only ranges of keys that
+    differ are compared row by row. A key of several columns is joined by commas.
+    """
+    found = None
+    for table, ddl in contracts.MODEL.items():
+        text = StructType([StructField(c, StringType()) for c in contracts.columns(ddl)])
+        trees = [f"{root.rstrip('/')}/{table}/{side}" for side in ("first", "second")]
+        for folder, tree in zip((first, second), trees):
+            rows = read_csv(spark, _location(folder, table), text, table)
+            fingerprint_tree.store(rows, contracts.MODEL_KEYS[table], tree)
+        differing = fingerprint_tree.differing_keys(spark, *trees)
+        key = F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in contracts.MODEL_KEYS[table]])
+        one = differing.select(
+            F.lit(table).alias("table_name"), key.alias("key"), "difference", "first_rows", "second_rows"
+        )
+        found = one if found is None else found.unionByName(one)
+    return found

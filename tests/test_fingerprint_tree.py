@@ -1,0 +1,85 @@
+"""Two stored copies of a table: which keys differ, and that equal ranges are not read."""
+
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter
+
+import pytest
+from conftest import records
+
+from bazaarium.sources import fingerprint_tree
+
+
+
+def kept(spark, rows, root) -> str:
+    frame = spark.createDataFrame(rows, "id bigint, name string, worth double")
+    frame = frame.withColumn("worth", frame.worth.cast("decimal(18,2)"))
+    fingerprint_tree.store(frame.repartition(3), ["id"], str(root), fine_bits=12)
+    return str(root)
+
+
+def brute_force(first, second) -> list[tuple]:
+    one, two, found = Counter(first), Counter(second), []
+    for key in {row[0] for row in one | two}:
+        mine, theirs = ({r: n for r, n in side.items() if r[0] == key} for side in (one, two))
+        if mine == theirs:
+            continue
+        kind = "only first" if not theirs else "only second" if not mine else None
+        kind = kind or ("repeated" if set(mine) == set(theirs) else "changed")
+        found.append((key, kind, sum(mine.values()), sum(theirs.values())))
+    return sorted(found, key=repr)
+
+
+def random_rows(rng: random.Random, n: int) -> list[tuple]:
+    return [(rng.choice([None, *range(300)]), rng.choice(["a", "", None, "a:1", "-"]), rng.choice([None, 1.5, 2.0])) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_differing_keys_equal_brute_force(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    first = random_rows(rng, 500) + [(7, "hot", 1.0)] * 300
+    second = [row for row in first if rng.random() > 0.02] + random_rows(rng, 10) + [(9999, "new", None)]
+    found = fingerprint_tree.differing_keys(spark, kept(spark, first, tmp_path / "a"), kept(spark, second, tmp_path / "b"))
+    assert records(found) == brute_force(first, second) != []
+    assert {kind for _, kind, *_ in brute_force(first, second)} >= {"repeated", "changed", "only second"}
+
+
+def test_only_differing_ranges_are_read_again(spark, tmp_path, monkeypatch):
+    rows = [(i, f"n{i}", 1.0) for i in range(3000)]
+    other = [(0, "changed", 1.0), *rows[2:], rows[5]]  # one changed, one lost, one repeated
+    first, second = kept(spark, rows, tmp_path / "a"), kept(spark, other, tmp_path / "b")
+    coarse, fine = fingerprint_tree.differing_ranges(spark, first, second)
+    assert len(coarse) <= 3 and fine.count() <= 3
+    sides = fingerprint_tree.differing_rows(spark, first, second)
+    assert all(side.count() < 20 for side in sides)
+    plan = sides[0]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and re.search(r"PushedFilters: \[[^\]]*_fine", plan)
+    expected = [(0, "changed", 1, 1), (1, "only first", 1, 0), (5, "repeated", 1, 2)]
+    assert records(fingerprint_tree.differing_keys(spark, first, second)) == expected
+    monkeypatch.setattr(fingerprint_tree, "LISTED_RANGES", 1)
+    assert records(fingerprint_tree.differing_keys(spark, first, second)) == expected
+
+
+def test_equal_and_empty_tables(spark, tmp_path):
+    rows = [(i % 50, "x", None) for i in range(200)]
+    first, second = kept(spark, rows, tmp_path / "a"), kept(spark, rows[::-1], tmp_path / "b")
+    empty = kept(spark, [], tmp_path / "c")
+    assert fingerprint_tree.differing_ranges(spark, first, second)[0] == []
+    assert fingerprint_tree.differing_keys(spark, first, second).count() == 0
+    assert records(fingerprint_tree.differing_keys(spark, empty, first)) == sorted(
+        [(i, "only second", 0, 4) for i in range(50)], key=repr
+    )
+    assert fingerprint_tree.differing_keys(spark, empty, empty).count() == 0
+
+
+def test_reserved_names_and_other_keys_are_refused(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2)], "id bigint, _fine int")
+    with pytest.raises(ValueError, match="reserved"):
+        fingerprint_tree.store(rows, ["id"], str(tmp_path / "a"))
+    good = spark.createDataFrame([(1, 2)], "id bigint, other int")
+    fingerprint_tree.store(good, ["id"], str(tmp_path / "b"))
+    fingerprint_tree.store(good, ["other"], str(tmp_path / "c"))
+    with pytest.raises(ValueError, match="different columns"):
+        fingerprint_tree.differing_keys(spark, str(tmp_path / "b"), str(tmp_path / "c"))
