@@ -42,6 +42,14 @@ def planned_bytes(frames: Iterable[DataFrame]) -> int:
     return sum(size for size in sizes if size < _UNKNOWN_BYTES)
 
 
+def scanned_bytes(rows: DataFrame) -> int:
+    """Size of what a plan reads. Unlike the size expected of its result, which multiplies
+    the sides of a join, it does not run away."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(size for size in sizes if size < _UNKNOWN_BYTES)
+
+
 def fit_partitions(spark: SparkSession, shuffled_bytes: int) -> int:
     """Raise the session's shuffle partitions to the size of the input; never lower them."""
     partitions = max(int(spark.conf.get(_PARTITIONS)), -(-shuffled_bytes // TARGET_PARTITION_BYTES))

@@ -103,3 +103,11 @@ def test_another_session_reads_what_one_stored(spark, tmp_path):
 def test_empty_sources(spark, tmp_path):
     stored = order_buckets.store(Shop().sources(spark), str(tmp_path / "b"), buckets=2)
     assert order_buckets.fact_orders(stored).count() == order_buckets.fact_sales(stored).count() == 0
+
+
+def test_the_number_of_buckets_follows_what_is_read(spark, star_folder):
+    """Joins among the sources make the optimizer expect far more rows than there are."""
+    from bazaarium.sources.star_schema import read_star_sources
+
+    cores = spark.sparkContext.defaultParallelism
+    assert order_buckets.bucket_count(read_star_sources(spark, star_folder)) == cores
