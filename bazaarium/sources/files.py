@@ -28,6 +28,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return _fs(spark, target).exists(target)
 
 
+def changed_at(spark: SparkSession, path: str) -> int:
+    """When a file was last changed, in milliseconds."""
+    target = _path(spark, path)
+    return _fs(spark, target).getFileStatus(target).getModificationTime()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Remove a folder or file, if it is there."""
     target = _path(spark, path)
