@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from bazaarium.contracts import Sources
 from bazaarium.functions.columns import ratio
-from bazaarium.operators.keys import orphan_rows, surplus_rows
+from bazaarium.operators.keys import reference_checks, surplus_rows
 from bazaarium.plans.model import DELIVERED, UNKNOWN_CATEGORY, high_value_threshold
 
 GMV_TOLERANCE = 0.01
@@ -45,45 +45,32 @@ def source_row_counts(sources: Sources) -> DataFrame:
     )
 
 
-def _item_checks(items: DataFrame, orders: DataFrame) -> DataFrame:
-    """One row with the four checks that need items by order, in one scan of the items.
+def raw_checks(sources: Sources) -> DataFrame:
+    """Ten checks that must all be zero before anything is built.
 
-    Rows are counted per item key, then per order; only then orders are looked up.
+    Three aggregates hold the nine that concern items: by order, by product and by seller.
+    The signs of amounts are counted with the sellers, which have the fewest keys.
     """
-    per_item = items.groupBy("order_id", "order_item_id").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("price") < 0).alias("prices"),
-        F.count_if(F.col("freight_value") < 0).alias("freights"),
-    )
-    per_order = per_item.groupBy("order_id").agg(
-        F.sum("n").alias("n"),
-        F.sum(F.col("n") - 1).alias("surplus"),
-        F.sum("prices").alias("prices"),
-        F.sum("freights").alias("freights"),
-    )
-    known = orders.select("order_id").distinct().withColumn("known", F.lit(True))
-    looked_up = per_order.join(known, "order_id", "left")
-    named = {
-        "duplicate_order_item_keys": F.sum("surplus"),
-        "orphan_item_orders": F.sum(F.when(F.col("known").isNull(), F.col("n"))),
-        "negative_item_prices": F.sum("prices"),
-        "negative_freight_values": F.sum("freights"),
-    }
-    return looked_up.agg(*[F.coalesce(value, F.lit(0)).alias(name) for name, value in named.items()])
-
-
-def raw_checks(sources: Sources) -> DataFrame:
-    """Ten checks that must all be zero before anything is built."""
     items = sources.order_items
+    # Rows are counted per item key, then per order; only these counts meet the orders.
+    per_item = items.groupBy("order_id", "order_item_id").agg(F.count("*").alias("n"))
+    per_order = per_item.groupBy("order_id").agg(F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("surplus"))
+    signs = {
+        "negative_item_prices": F.coalesce(F.col("price") < 0, F.lit(False)),
+        "negative_freight_values": F.coalesce(F.col("freight_value") < 0, F.lit(False)),
+    }
     counted = [
         surplus_rows(sources.customers, ["customer_id"], "duplicate_customer_ids"),
-        surplus_rows(sources.orders, ["order_id"], "duplicate_order_ids"),
-        surplus_rows(sources.products, ["product_id"], "duplicate_product_ids"),
-        surplus_rows(sources.sellers, ["seller_id"], "duplicate_seller_ids"),
-        _item_checks(items, sources.orders),
-        orphan_rows(items, "product_id", sources.products, "orphan_item_products"),
-        orphan_rows(items, "seller_id", sources.sellers, "orphan_item_sellers"),
-    ]
+        reference_checks(
+            sources.orders, per_order, "order_id", "duplicate_order_ids", "orphan_item_orders", F.col("n"),
+            {"duplicate_order_item_keys": F.col("surplus")},
+        ),
+        reference_checks(sources.products, items, "product_id", "duplicate_product_ids", "orphan_item_products", F.lit(1)),
+        reference_checks(
+            sources.sellers, items, "seller_id", "duplicate_seller_ids", "orphan_item_sellers", F.lit(1),
+            {name: sign.cast("int") for name, sign in signs.items()},
+        ),
+    ]
     return _union([_as_checks(one, required_zero=True) for one in counted])
 
 

@@ -20,6 +20,7 @@ from bazaarium.functions.columns import (
     month_start,
 )
 from bazaarium.operators import ranking
+from bazaarium.operators.keys import orphan_rows, reference_checks, surplus_rows
 from bazaarium.operators.quantile import exact_quantile
 from bazaarium.operators.ranking import dense_rank_descending, number_within
 from bazaarium.operators.skew import SkewPolicy, heavy_cells, hot_keys, salted_join
@@ -193,3 +194,16 @@ def test_elapsed_time_is_the_same_in_every_session_zone(spark):
         ).first()
         assert tuple(row) == (gap, -gap, 0.0, "1996-04")
     spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_reference_checks_equal_counting_and_joining(spark):
+    parents = spark.createDataFrame([(1,), (2,), (2,), (None,), (None,), (3,)], "k int")
+    rows = spark.createDataFrame([(1, 5), (1, 5), (4, 2), (None, 3), (None, 1), (2, 7)], "k int, v int")
+    found = reference_checks(parents, rows, "k", "surplus", "orphans", F.lit(1), {"v": F.col("v")})
+    assert records(found, "surplus", "orphans", "v") == [(2, 3, 23)]
+    assert records(surplus_rows(parents, ["k"], "n")) == [(2,)] and records(orphan_rows(rows, "k", parents, "n")) == [(3,)]
+    assert records(reference_checks(parents, rows, "k", "surplus", "orphans", F.col("v")), "orphans") == [(6,)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    none = reference_checks(parents.limit(0), rows.limit(0), "k", "surplus", "orphans", F.lit(1))
+    assert records(none) == [(0, 0)]
