@@ -25,7 +25,7 @@ from bazaarium.functions.columns import month_start  # noqa: E402
 from bazaarium.operators.keys import orphan_rows, surplus_rows  # noqa: E402
 from bazaarium.operators.skew import SkewPolicy  # noqa: E402
 from bazaarium.plans import cube, headline, marts, measures, model as plans, order_buckets  # noqa: E402
-from bazaarium.plans import quality, questions, refresh, repeat_curve  # noqa: E402
+from bazaarium.plans import quality, questions, refresh, repeat_curve, sketches  # noqa: E402
 from bazaarium.plans.headline import HeadlineParameters  # noqa: E402
 from bazaarium.plans.measures import Selection  # noqa: E402
 from bazaarium.sinks import tables  # noqa: E402
@@ -204,6 +204,25 @@ def bucketed(spark: SparkSession, folder: str) -> order_buckets.OrderBuckets:
     return order_buckets.store(planned(spark, folder)[0], files.scratch(spark, "order-buckets"))
 
 
+@lru_cache(maxsize=4)
+def sketched(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored sketches of customers by month and state."""
+    path = files.scratch(spark, "sketches")
+    sketches.monthly(planned(spark, folder)[1]).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _active_by_state(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact figures; the estimates beside them are held against their bound, as they may vary in it."""
+    found = sketches.active_by_state(planned(spark, folder)[1], sketched(spark, folder))
+    return _plain(found.drop("estimated_customers"))
+
+
+def _returning_by_month(spark: SparkSession, folder: str) -> DataFrame:
+    found = sketches.returning_by_month(planned(spark, folder)[1], sketched(spark, folder))
+    return _plain(found.drop("estimated_both", "estimated_either"))
+
+
 def _first_delivery(sources: Sources) -> tuple[DataFrame, DataFrame]:
     """Orders as they were known at one time, and those of them or later ones that differ now."""
     orders, until = sources.orders, F.lit(DELIVERED_UNTIL).cast("timestamp_ntz")
@@ -345,6 +364,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         order_buckets.fact_sales(bucketed(spark, folder), ITEM_SPREAD)
     )
     registered["orders_changed_since_delivery"] = _changed_orders
+    registered["active_by_state_sketched"] = _active_by_state
+    registered["returning_by_month_sketched"] = _returning_by_month
     from_cube = {
         "sel_totals_from_cube": lambda c, m: cube.totals(c, m, TWO_STATES),
         "sel_segment_totals_from_cube": lambda c, m: cube.totals(c, m, TWO_SEGMENTS),
