@@ -31,9 +31,9 @@ import hashlib
 import json
 import re
 import uuid
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 from pathlib import Path
 
 import numpy as np
@@ -49,8 +49,8 @@ from bazaarium.llm.common import CHUNK_BYTES, chunks, id_and_text, stored
 
 #: Text bytes of a chunk, and of the corpus for each range of A ids; ranges are at least and at most so many.
 CHUNK_TEXT, RANGE_TEXT, LEAST_RANGES, MOST_RANGES = CHUNK_BYTES // 2, 64 << 20, 64, 1 << 15
-#: Words whose ids a worker remembers, in two generations, and words that are encoded at a time.
-REMEMBERED, _LONGEST_REMEMBERED, _AT_A_TIME = 150_000, 64, 4096
+#: Words whose ids a worker remembers, their bytes at most, and words that are encoded at a time.
+REMEMBERED, _LONGEST_REMEMBERED, _AT_A_TIME = 250_000, 64, 4096
 #: Links of a group from which on they are added up by distinct ids, and pairs of one such step.
 LARGE_GROUP, STEP = 4096, 1 << 20
 _MARK = "▁"
@@ -77,6 +77,24 @@ class ByteLevel:
         alphabet = _byte_alphabet()
         tokens = (self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size()))
         self.spelled = [bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode() for t in tokens]
+        self.lengths = np.array([len(s) for s in self.spelled], np.int64)
+
+    def encode_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and how many each has.
+
+        Words that neither begin nor end with white space are encoded as one text, in which
+        each begins a token, and its tokens are told apart by their bytes.
+        """
+        shown = words.to_pylist()
+        if pc.any(pc.match_substring_regex(words, r"^[\x00-\x20]|[\x00-\x20]$"), min_count=0).as_py():
+            return joined(self.encode(shown))
+        ids = np.array(self.encode([" ".join(shown)])[0], np.int32)
+        token_ends = np.cumsum(self.lengths[ids])
+        word_ends = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)
+        last = np.searchsorted(token_ends, word_ends)
+        if last[-1] != len(ids) - 1 or not np.array_equal(token_ends[last], word_ends):
+            return joined(self.encode(shown))
+        return ids, np.diff(last, prepend=-1).astype(np.int32)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
@@ -96,10 +114,19 @@ class Pieces:
             bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace(_MARK, " ").encode() for i, p in enumerate(pieces)
         ]
 
+    def encode_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        return joined(self.encode(words.to_pylist()))
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.library.encode(texts, num_threads=1)
 
 
+def joined(encoded: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids one after the other, and their lengths."""
+    sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+    return np.fromiter(chain.from_iterable(encoded), np.int32, int(sizes.sum())), sizes.astype(np.int32)
+
+
 class Aligner:
     def __init__(self, a_path: str, b_path: str):
         self.sides = (ByteLevel(a_path), Pieces(b_path))
@@ -109,21 +136,44 @@ class Aligner:
         #: Every id of A, then of B, with each of the three characters that can follow it.
         self.decimals = pa.array((f"{i}{c}" for s in self.spelled for i in range(len(s)) for c in ",|;"), pa.large_string())
         self.pieces = len(self.sides[1].spelled)
-        self.known: list[tuple[dict[str, bytes], dict[str, bytes]]] = [({}, {}), ({}, {})]
-
-    def _ids(self, units: list[str], side: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all units, one after the other, and how many each has."""
-        young, old = self.known[side]
-        found = {u: old[u] if u in old else None for u in units if u not in young}
-        missing = [u for u, ids in found.items() if ids is None]
-        for start in range(0, len(missing), _AT_A_TIME):
-            some = missing[start : start + _AT_A_TIME]
-            found.update(zip(some, (array("I", ids).tobytes() for ids in self.sides[side].encode(some)), strict=True))
-        held = [found[u] if u in found else young[u] for u in units]
-        young.update((u, ids) for u, ids in found.items() if len(u) <= _LONGEST_REMEMBERED)
-        if len(young) > REMEMBERED // 2:  # words of the generation before that did not come again are forgotten
-            self.known[side] = ({}, young)
-        return np.frombuffer(b"".join(held), np.uint32).astype(np.int64), np.array([len(h) // 4 for h in held], np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Where each remembered word is, and of each side the ids of all words and how many each has.
+        self.known: dict[str, int] = {}
+        self.held = [(np.zeros(0, np.int32), np.zeros(0, np.int32)) for _ in self.sides]
+
+    def _ids(self, words: pa.StringArray, whole: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each side the ids of all units, words before whole texts, and how many each unit has.
+
+        Where too many words are remembered, those of earlier batches are forgotten.
+        """
+        short = pc.less_equal(pc.binary_length(words), _LONGEST_REMEMBERED).to_numpy(zero_copy_only=False)
+        shown = words.filter(pa.array(short)).to_pylist()
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        at = np.fromiter(map(self.known.get, shown, repeat(-1)), np.int64, len(shown))
+        new = np.flatnonzero(at < 0)
+        at[new] = len(self.known) + np.arange(len(new))
+        missing = words.filter(pa.array(short)).take(pa.array(new))
+        long = words.filter(pa.array(~short)).to_pylist() + whole
+        beyond = len(self.known) + len(new) + np.arange(len(long))
+        places = np.empty(len(words) + len(whole), np.int64)
+        places[: len(words)][short] = at
+        places[: len(words)][~short] = beyond[: len(long) - len(whole)]
+        places[len(words) :] = beyond[len(long) - len(whole) :]
+        found = []
+        for number, side in enumerate(self.sides):
+            made = [side.encode_words(missing.slice(start, _AT_A_TIME)) for start in range(0, len(missing), _AT_A_TIME)]
+            flat, sizes = (np.concatenate(parts) for parts in zip(self.held[number], *made, strict=True))
+            self.held[number] = flat, sizes
+            if long:  # not remembered
+                flat, sizes = (np.concatenate(parts) for parts in zip((flat, sizes), joined(side.encode(long)), strict=True))
+            sizes = sizes.astype(np.int64)
+            first = np.cumsum(sizes) - sizes
+            found.append((flat[ragged(first[places], sizes[places])].astype(np.int64), sizes[places]))
+        self.known.update(zip((shown[i] for i in new.tolist()), at[new].tolist(), strict=True))
+        return found
 
     def encode(self, texts: pa.StringArray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each side the ids of all texts, none of them empty, and how many each text has."""
@@ -139,7 +189,6 @@ class Aligner:
         words = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
         coded = words.flatten().dictionary_encode()
         whole = texts.filter(pa.array(odd)).to_pylist()
-        units = coded.dictionary.to_pylist() + whole
         n = len(coded.dictionary)
         codes = np.concatenate((coded.indices.to_numpy().astype(np.int64), np.arange(n, n + len(whole))))
         per_text = np.concatenate((pc.list_value_length(words).to_numpy(), np.ones(len(whole), np.int64)))[back]
@@ -147,8 +196,7 @@ class Aligner:
         starts = (ends - np.diff(ends, prepend=0))[back]
         codes = codes[ragged(starts, per_text)]
         encoded = []
-        for side in range(2):
-            ids, sizes = self._ids(units, side)
+        for ids, sizes in self._ids(coded.dictionary, whole):
             first = np.cumsum(sizes) - sizes
             flat = ids[ragged(first[codes], sizes[codes])]
             total = np.concatenate(([0], np.cumsum(sizes[codes])))
@@ -187,7 +235,7 @@ class Alignment:
         n = len(a)
         ends = np.concatenate((np.cumsum(lengths[:n]), np.cumsum(lengths[n:])))
         starts = ends - lengths
-        order = np.lexsort((np.arange(len(starts)) >= n, starts))
+        order = np.argsort(starts, kind="stable")  # A before B where both start; two ordered runs
         reached = np.maximum.accumulate(ends[order])
         breaks = np.ones(len(order), bool)
         breaks[1:] = starts[order][1:] >= reached[:-1]
@@ -239,13 +287,20 @@ class Alignment:
                 pairs = (a[part, None] * self.by.pieces + b).ravel()
                 found.append((np.full(len(pairs), text_of[g]), pairs, (times_a[part, None] * times_b).ravel()))
         texts, pairs = (np.concatenate([f[i] for f in found]) for i in range(2))
-        times = np.concatenate([np.ones(len(f[0]), np.int64) if f[2] is None else f[2] for f in found])
-        order = np.lexsort((pairs, texts))
-        texts, pairs, times = texts[order], pairs[order], times[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (texts[1:] != texts[:-1]) | (pairs[1:] != pairs[:-1])
-        at = np.flatnonzero(new)
-        return texts[at], pairs[at], np.add.reduceat(times, at) if len(at) else times
+        # one number for text and pair sorts several times as fast as two
+        every = len(self.by.spelled[0]) * self.by.pieces
+        keys = texts * every + pairs
+        if len(found) == 1:
+            keys.sort()
+            at = np.flatnonzero(np.diff(keys, prepend=-1))
+            counts = np.diff(np.append(at, len(keys)))
+        else:
+            times = np.concatenate([np.ones(len(f[0]), np.int64) if f[2] is None else f[2] for f in found])
+            order = np.argsort(keys)
+            keys = keys[order]
+            at = np.flatnonzero(np.diff(keys, prepend=-1))
+            counts = np.add.reduceat(times[order], at)
+        return keys[at] // every, keys[at] % every, counts
 
 
 @lru_cache(maxsize=2)
@@ -303,12 +358,14 @@ def _aligning(a_path: str, b_path: str, ranges: int):
             texts, pairs, links = found.pairs()
             distinct, of = np.unique(pairs, return_inverse=True)
             in_range = _range_of(distinct // by.pieces, ranges)
-            order = np.lexsort((distinct, in_range))
-            place = np.argsort(order)[of]
+            order = np.argsort(in_range, kind="stable")
+            places = np.empty_like(order)
+            places[order] = np.arange(len(order))
+            place = places[of]
             documents = np.bincount(place, minlength=len(order))
             held = np.zeros(batch.num_rows, np.int64)
             held[found.sound] = np.bincount(texts, minlength=len(found.group_ends))
-            by_text = np.lexsort((place, texts))
+            by_text = np.argsort(texts * len(order) + place)
             sorted_pairs, bounds = distinct[order], np.searchsorted(in_range[order], np.arange(ranges + 1))
             used = np.flatnonzero(np.diff(bounds)).tolist()
             blocks = [pack(steps(sorted_pairs[bounds[r] : bounds[r + 1]]), documents[bounds[r] : bounds[r + 1]]) for r in used]

@@ -112,6 +112,26 @@ def test_words_and_whole_texts_encode_alike(spark, small_folder, tokenizers):
         assert all((x == y).all() for x, y in zip(one, other, strict=True))
 
 
+def test_new_words_are_encoded_together_and_known_ones_not_again(tokenizers, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_alignment, "REMEMBERED", 1500)
+    by, libraries, handed = token_alignment.Aligner(*tokenizers), Libraries(*tokenizers), []
+    plain = by.sides[0].encode
+    monkeypatch.setattr(by.sides[0], "encode", lambda texts: handed.extend(texts) or plain(texts))
+    words = [f"wörd{i}\n{i % 7}th's" for i in range(1000)]
+    edges = ["a\x0b \x0bb\x0b c", "q \x1fq", "x" * 100 + " \x00y z\x00 w"]
+    for batch in (words, words, [w + "!" for w in words], words, edges):
+        texts = [" ".join(batch[i : i + 100]) for i in range(0, len(batch), 100)] if batch is not edges else edges
+        for number, (ids, sizes) in enumerate(by.encode(pa.array(texts))):
+            whole = [libraries.a.encode(" " + t, add_special_tokens=False).ids if number == 0 else libraries.b.encode(t) for t in texts]
+            assert ids.tolist() == [i for text in whole for i in text]
+            assert sizes.tolist() == [len(text) for text in whole]
+        assert len(by.known) <= 2500
+    # three batches have new words (the last after all were forgotten), and the edges few
+    assert len(handed) < 20
+
+
 def test_empty_table(spark, docs, tokenizers):
     none = docs((1, "a")).limit(0)
     assert rows(token_alignment.link_counts(none, *tokenizers)) == []
