@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import random
 import re
+from datetime import datetime
 
 import pytest
-from conftest import Shop, records
+from conftest import Shop, frame, records
 from test_refresh import random_order
 
 from bazaarium.operators.skew import SkewPolicy
 from bazaarium.plans import model as plans
 from bazaarium.plans import order_buckets
+from bazaarium.session import PARTITIONS, set_for
+from bazaarium.sources import star_schema
 
 
 @pytest.fixture
@@ -111,3 +114,90 @@ def test_the_number_of_buckets_follows_what_is_read(spark, star_folder):
 
     cores = spark.sparkContext.defaultParallelism
     assert order_buckets.bucket_count(read_star_sources(spark, star_folder)) == cores
+
+
+def lines(spark, orders: int, extra: list[tuple] = ()):
+    """Stored lines of a star schema, three for each order and as many products as orders."""
+    plain = [(o, (o * 7 + n) % orders, n % 2, 1, 2.0, 10.0 + n, 0.0, 0.0, "A", "F", None) for o in range(orders) for n in range(3)]
+    return frame(spark, [*plain, *extra], star_schema.TABLES["lineitem"])
+
+
+def shuffles_above(plan: str, step: str) -> list[str]:
+    """Shuffles that the rows of a step go through afterwards."""
+    found, depth = [], None
+    for line in reversed(plan.splitlines()):
+        name = line.lstrip(" :+-")
+        here = len(line) - len(name)
+        if depth is None and name.startswith(step) or depth is not None and here < depth:
+            depth = here
+            found += [name] if "Exchange" in name else []
+    assert depth is not None
+    return found
+
+
+def star_of(spark, folder, orders: int):
+    day = datetime(2000, 1, 5)
+    rows = {
+        "region": [(0, "R")],
+        "nation": [(n, f"N{n}", 0) for n in range(25)],
+        "customer": [(c, c % 25, "CITY") for c in range(5)],
+        "supplier": [(1, "S", 0)],
+        "part": [(p, f"p{p}", "B", ("SMALL", "PROMO")[p % 2], 3) for p in range(orders)],
+        "orders": [(o, o % 5, "F", day, "1-URGENT") for o in range(orders)],
+        "events": [(e, day, 2.0) for e in range(orders)],
+    }
+    tables = {name: frame(spark, kept, star_schema.TABLES[name]) for name, kept in rows.items()}
+    for name, table in (tables | {"lineitem": lines(spark, orders)}).items():
+        table.write.parquet(f"{folder}/{name}.parquet")
+    return star_schema.read_star_sources(spark, str(folder))
+
+
+def test_items_are_shuffled_once(spark, tmp_path, no_broadcast, monkeypatch):
+    """From their numbering on they lie in their buckets; only ids go to the products."""
+    plain, written = order_buckets._write, {}
+
+    def write(rows, location, buckets):
+        placed = rows.repartition(buckets, order_buckets.KEY).sortWithinPartitions(order_buckets.KEY)
+        written[location.rpartition("/")[2]] = placed._jdf.queryExecution().executedPlan().toString()
+        plain(rows, location, buckets)
+
+    monkeypatch.setattr(order_buckets, "_write", write)
+    sources = star_of(spark, tmp_path / "star", 20)
+    stored = order_buckets.store(sources, str(tmp_path / "b"), buckets=3)
+    assert written["items"].count("Window ") == 1
+    assert shuffles_above(written["items"], "Window ") == []
+    assert len(shuffles_above(written["orders"], "Window ")) == 1
+    orders = plans.fact_orders(sources)
+    assert records(order_buckets.fact_sales(stored)) == records(plans.fact_sales(sources, orders))
+
+
+def test_items_keep_their_category_without_product_or_twice(spark, tmp_path, no_broadcast):
+    shop = some_shop(8)
+    for _ in range(2):
+        shop.item("o1", 1, "lamp", "north", 5).item("o1", 1, None, "north", 5).item("o2", 9, "gone", None, 6)
+        shop.item(None, 1, None, "north", 5)
+    same_facts(spark, shop, str(tmp_path / "b"), SkewPolicy())
+    stored = order_buckets.read(spark, str(tmp_path / "b"))
+    sources = shop.sources(spark)
+    items = plans.enriched_items(sources.order_items, plans.translated_products(sources.products, sources.category_translation))
+    assert stored.items.bucketed.columns == items.columns
+    assert records(stored.items.bucketed.unionByName(stored.items.loose)) == records(items)
+
+
+def test_lines_without_an_order_are_numbered_as_before(spark):
+    """Where none is without an order, lines are numbered by order alone."""
+    loose = [(None, p, 1, n, 2.0, 10.0, 0.0, 0.0, "A", "F", None) for p in (3, 1) for n in range(4)]
+    whole, mixed = (star_schema.order_items(lines(spark, 9, rows), SkewPolicy()) for rows in ((), loose))
+    assert records(whole) == records(mixed.filter("order_id IS NOT NULL"))
+    numbers = records(mixed.filter("order_id IS NULL"), "order_item_id")
+    assert numbers == [(1,)] * 8
+    assert "_chunk" not in whole._jdf.queryExecution().executedPlan().toString()
+
+
+def test_settings_hold_inside_only(spark):
+    before = spark.conf.get(PARTITIONS)
+    with pytest.raises(ValueError), set_for(spark, {PARTITIONS: "3", **order_buckets._IN_BUCKETS}):
+        assert spark.conf.get(PARTITIONS) == "3"
+        raise ValueError
+    assert spark.conf.get(PARTITIONS) == before
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition", None) != "false"
