@@ -31,8 +31,10 @@ from bazaarium.llm.common import CHUNK_BYTES, chunks, complete_ledger, content_d
 #: Part of the key, so that counts made with other options are never reused.
 OPTIONS = "sentencepiece;no-bos;no-eos"
 #: Distinct words whose counts a worker remembers; beyond it, it starts afresh.
-REMEMBERED_WORDS = 1_000_000
+REMEMBERED_WORDS = 250_000
 _LONGEST_REMEMBERED = 64
+#: Words whose pieces are held at a time: a list of ids takes some 200 bytes, its length is all that is kept.
+_ENCODED_WORDS = 16_384
 _MARK = "▁"
 
 
@@ -60,11 +62,16 @@ class PieceCounter:
         self.by_word = untouched and not any("\n" in p or re.search(f"[^{_MARK}]{_MARK}", p) for p in pieces)
         self.known: dict[str, int] = {}
 
+    def _lengths(self, texts: list[str]) -> Iterator[int]:
+        """Pieces of each text, on the one core that a task has: by default the library starts a thread for each core."""
+        for start in range(0, len(texts), _ENCODED_WORDS):
+            yield from map(len, self.library.encode(texts[start : start + _ENCODED_WORDS], num_threads=1))
+
     def _words(self, words: list[str]) -> np.ndarray:
         """Counts of words as they stand after a space, or after nothing if a line feed begins them."""
         unknown = [w for w in words if w not in self.known]
         # The library puts a mark before every text; no merge joins it to a line feed.
-        found = {w: len(ids) - w.startswith("\n") for w, ids in zip(unknown, self.library.encode(unknown), strict=True)}
+        found = {w: n - w.startswith("\n") for w, n in zip(unknown, self._lengths(unknown), strict=True)}
         counts = np.fromiter((found[w] if w in found else self.known[w] for w in words), np.int64, len(words))
         if len(self.known) + len(found) > REMEMBERED_WORDS:
             self.known.clear()
@@ -73,7 +80,7 @@ class PieceCounter:
 
     def count(self, texts: pa.StringArray) -> np.ndarray:
         if not self.by_word:
-            return np.array([len(ids) for ids in self.library.encode(texts.to_pylist())], np.int64)
+            return np.fromiter((n for text in texts for n in self._lengths([text.as_py()])), np.int64, len(texts))
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         words = parts.flatten().dictionary_encode()
         distinct, codes = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
@@ -85,7 +92,7 @@ class PieceCounter:
 
         counts = per_text(self._words(distinct))
         for row in np.flatnonzero(per_text(odd)):
-            counts[row] = len(self.library.encode(texts[row].as_py()))
+            counts[row] = next(self._lengths([texts[row].as_py()]))
         return counts
 
 
@@ -97,7 +104,7 @@ def _counter(model_path: str) -> PieceCounter:
 def _encode(model_path: str, version: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(model_path)
-        for batch in chunks(batches, 1, 4 * CHUNK_BYTES):
+        for batch in chunks(batches, 1, 2 * CHUNK_BYTES):
             counts = counter.count(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([version] * len(counts), pa.string()), pa.array(counts)],

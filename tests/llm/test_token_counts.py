@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+
 import pyarrow as pa
 import pytest
 import sentencepiece
@@ -31,6 +33,34 @@ def test_any_text_counts_as_the_library_counts_it(texts):
     assert COUNTER.count(pa.array(texts)).tolist() == [len(LIBRARY.encode(t)) for t in texts]
 
 
+class Watched:
+    """The library, with a note of each call: how many texts, how many threads."""
+
+    def __init__(self):
+        self.calls = []
+
+    def encode(self, texts, num_threads=-1):
+        self.calls.append((len(texts), num_threads))
+        return LIBRARY.encode(texts, num_threads=num_threads)
+
+
+@pytest.mark.parametrize("by_word", [True, False])
+def test_few_pieces_are_held_at_a_time_and_by_one_thread(by_word):
+    counter = token_counts.PieceCounter(MODEL)
+    counter.library, counter.by_word = Watched(), by_word
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(2000)] + ["two  spaces"]
+    assert counter.count(pa.array(texts)).tolist() == [len(ids) for ids in LIBRARY.encode(texts)]
+    assert max(n for n, _ in counter.library.calls) <= 20_000
+    assert {threads for _, threads in counter.library.calls} == {1}
+
+
+def test_a_worker_remembers_words_of_bounded_memory():
+    counter = token_counts.PieceCounter(MODEL)
+    for start in range(0, 400_000, 50_000):
+        counter.count(pa.array([" ".join(f"{i}" for i in range(start, start + 50_000))]))
+        assert 0 < len(counter.known) <= 250_000
+
+
 def test_nulls_copies_and_clashing_columns(docs):
     table = docs((1, "one two"), (1, "one two"), (2, None), (None, ""), (3, "one two"))
     found = rows(token_counts.count_tokens(table, MODEL), "doc_id", "n_bytes", "n_tokens")
@@ -51,6 +81,19 @@ def test_the_cache_is_appended_by_distinct_misses_only(spark, docs):
     assert second == [(4, len(LIBRARY.encode("a b"))), (5, len(LIBRARY.encode("new text")))]
 
 
+def test_files_of_the_cache_follow_its_rows_not_the_texts(spark, docs):
+    path, usual = new_path(spark, "cache"), "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    before = spark.conf.get(usual)
+    spark.conf.set(usual, "32k")
+    try:
+        texts = [" ".join(hashlib.sha256(f"{i} {j}".encode()).hexdigest() for j in range(300)) for i in range(80)]
+        found = rows(token_counts.count_tokens(docs(*enumerate(texts)), MODEL, path), "doc_id", "n_tokens")
+    finally:
+        spark.conf.set(usual, before)
+    assert found == sorted(((i, len(LIBRARY.encode(text))) for i, text in enumerate(texts)), key=repr)
+    assert len(spark.read.parquet(path).inputFiles()) == 1
+
+
 def test_counts_of_the_cache_are_used(spark, docs):
     path = new_path(spark, "cache")
     version = token_counts.tokenizer_digest(MODEL)
