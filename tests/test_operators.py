@@ -19,7 +19,7 @@ from bazaarium.functions.columns import (
     month_key,
     month_start,
 )
-from bazaarium.operators import ranking
+from bazaarium.operators import ranking, skew
 from bazaarium.operators.keys import orphan_rows, reference_checks, surplus_rows
 from bazaarium.operators.quantile import exact_quantile
 from bazaarium.operators.ranking import dense_rank_descending, number_within
@@ -53,6 +53,18 @@ def test_hot_keys_are_exact_whatever_their_share(skewed):
     assert records(listed.rows, "key") == records(skewed.groupBy("key").count().filter("key IS NOT NULL AND count > 3"), "key")
 
 
+def test_many_heavy_cells_are_not_broadcast(skewed, monkeypatch):
+    """Cells that can be heavy grow with the rows where a task should have few of them."""
+    held = []
+    monkeypatch.setattr(skew.F, "broadcast", lambda rows: held.append(rows.columns) or rows)
+    expected = records(hot_keys(skewed, "key", SHUFFLED).rows)
+    assert held == [["_cell"]]
+    monkeypatch.setattr(skew, "LOCAL_CELLS", 2)
+    found = hot_keys(skewed, "key", SHUFFLED)
+    assert records(found.rows) == expected != [] and not found.local
+    assert held == [["_cell"]]
+
+
 def test_a_key_just_below_a_ten_thousandth_of_all_rows_is_split(spark):
     rows = spark.range(200_000).select(F.when(F.col("id") < 19, -1).otherwise(F.col("id")).alias("key"), "id")
     found = hot_keys(rows, "key", SkewPolicy(rows_per_task=10))
