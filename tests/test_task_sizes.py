@@ -9,7 +9,7 @@ from conftest import Shop, records
 from bazaarium.contracts import MODEL
 from bazaarium.operators.skew import SkewPolicy
 from bazaarium.plans import model as plans, order_buckets
-from bazaarium.session import SHUFFLED_TASK_BYTES, TASK_BYTES, fit_tasks
+from bazaarium.session import SHUFFLED_TASK_BYTES, TASK_BYTES, fit_tasks, set_for
 from bazaarium.sinks.reports import export_report_tables
 from bazaarium.sources.report_files import check_report_table, read_report_table
 
@@ -88,3 +88,46 @@ def test_compressed_report_tables_read_as_plain_ones(spark, tmp_path):
         plain, packed = str(tmp_path / "plain"), str(tmp_path / "packed")
         assert check_report_table(spark, plain, table) == check_report_table(spark, packed, table)
         assert records(read_report_table(spark, plain, table)) == records(read_report_table(spark, packed, table)), table
+
+
+def odd_shop() -> Shop:
+    """Items without an order or a product, of an unknown order or product, and twice the same."""
+    made = shop()
+    made.rows["products"].append(("vase", "cama", 31, 440, 3, 1250, 22, 35, 18))
+    for order, number, product in ((None, 1, "lamp"), (None, 2, None), ("gone", 1, "lamp"), ("o3", 7, None), ("o3", 8, "vase"), ("o5", 9, "none")):
+        made.item(order, number, product, "north", 4)
+    made.item("o6", 10, "lamp", "north", 3).item("o6", 10, "lamp", "north", 3)
+    return made
+
+
+def test_kept_items_are_moved_by_order_alone(spark, tmp_path):
+    seen = []
+
+    def keep(rows, policy):
+        seen.append(plan_of(rows))
+        rows.write.parquet(str(tmp_path / f"sales-{policy.rows_per_task}"))
+        return spark.read.schema(rows.schema).parquet(str(tmp_path / f"sales-{policy.rows_per_task}"))
+
+    sources = odd_shop().sources(spark)
+    orders = plans.fact_orders(sources)
+    plain = plans.fact_sales(sources, orders)
+    assert len(records(plain)) == sum(1 for _ in odd_shop().rows["order_items"])
+    with set_for(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        for policy in (SkewPolicy(), SkewPolicy(rows_per_task=2)):
+            kept = plans.fact_sales(sources, orders, policy, keep=lambda rows: keep(rows, policy))
+            assert records(kept) == records(plain)
+    usual, hot = seen
+    ids_alone = re.compile(r"Exchange hashpartitioning\(product_id#[^\n]*\n[^\n]*\[order_id#\d+, product_id#\d+\]")
+    assert ids_alone.search(usual) and not ids_alone.search(hot)
+    assert not re.search(r"hashpartitioning\(order_id#\d+, product_id#", usual)
+    # the setting holds only while the rows are stored
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_categories_of_an_order_are_shuffled_once_unless_one_is_hot(spark):
+    sources = odd_shop().sources(spark)
+    plain, split = plans.fact_orders(sources), plans.fact_orders(sources, SkewPolicy(rows_per_task=2))
+    twice = re.compile(r"Exchange hashpartitioning\(order_id#\d+, product_category_name_english#")
+    assert not twice.search(plan_of(plain))
+    assert twice.search(plan_of(split))
+    assert records(plain) == records(split) != []
